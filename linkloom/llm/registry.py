@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from . import line_dedup, quality_rules
+from . import byte_bpe, chat_format, line_dedup, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op7_chat_format": chat_format.op7_chat_format,
+    "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
 }
 
 ORACLE_SQL = {
     "op1_quality_rules": quality_rules.SQL,
+    "op7_chat_format": chat_format.SQL,
     "op9_line_dedup": line_dedup.SQL,
 }
