@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, line_dedup, ngram_join, quality_rules
+from . import byte_bpe, chat_format, html_extract, importance, line_dedup, ngram_join, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op5_importance": importance.op5_importance,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
     "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_html_extract": html_extract.op10_html_extract,
 }
 
 ORACLE_SQL = {
