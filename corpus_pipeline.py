@@ -1,13 +1,74 @@
-"""Corpus pipeline: documents through the stages in STAGES."""
+"""Corpus pipeline: documents through five of the operators in linkloom.llm.
+
+Each stage gets all that its predecessor kept. The stages but the last return the columns of
+documents; the last returns doc_id, n_tokens, ids, ids_sha256 and decoded_sha256. Null texts are
+empty texts; rows with a null doc_id are one document without id where documents are matched by id;
+an empty table stays empty.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from linkloom.llm import byte_bpe, decontaminate, importance, line_dedup, ngram_join
+from linkloom.llm._state import shared_dir, table, written
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier keeps (operator 5)."""
+    return importance.resample(docs, table(spark, sf_dir, "labels")).where("_kept").select(*docs.columns)
+
+
+def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Repeated lines stay only in the last document that holds them (operator 9); n_chars follows."""
+    out = line_dedup.dedup_lines(docs)
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.when(F.col("_n_dropped") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest doc_id of each group of similar ones (operator 3); of repeated rows, one."""
+    groups = written(ngram_join.join_documents(docs), "groups")
+    gone = groups.where(F.col("doc_id") != F.col("component_id")).select("doc_id").distinct()
+    twice = groups.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    kept = docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    if twice.isEmpty():
+        return kept
+    repeated = kept.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
+    return kept.join(twice, "doc_id", "left_anti").unionByName(repeated).select(*docs.columns)
+
+
+def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item (operator 4)."""
+    held = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select(F.col("doc_id").alias("_leak")).distinct()
+    return docs.join(held, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the digest of their decoding (operator 8)."""
+    import public_tokenizers
+
+    return byte_bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality classifier", quality),
+    ("line dedup", lines),
+    ("n-gram Jaccard join", near_duplicates),
+    ("benchmark decontamination", benchmark_leaks),
+    ("byte-level BPE", tokens),
+]
+
+#: SQL has neither the resampling nor the tokenizer; tests/llm/test_pipeline.py compares with brute force.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each written to the shared folder and read again by the next."""
+    shared_dir(spark)
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return docs

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._state import table
+from ._state import table, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,7 +59,8 @@ def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> Data
     narrow = docs.select("doc_id", "text")
     h1, h2 = _hashes(F.col("_key"))
     held = _line_keys(narrow, min_chars).select("doc_id", h1.alias("h1"), h2.alias("h2"))
-    loses = held.join(repeated_lines(narrow, min_chars, min_docs), ["h1", "h2"]).where(F.coalesce(F.col("doc_id") < F.col("keeper"), F.col("keeper").isNotNull()))
+    # Written first: a join of two plain exchanges lets adaptive execution split the hashes of very common lines.
+    loses = held.join(written(repeated_lines(narrow, min_chars, min_docs), "repeated-lines"), ["h1", "h2"]).where(F.coalesce(F.col("doc_id") < F.col("keeper"), F.col("keeper").isNotNull()))
     drops = loses.groupBy("doc_id").agg(F.collect_set("h1").alias("_drops")).withColumnRenamed("doc_id", "_loser")
     # Dropped hashes in about sqrt(n) buckets: looking up a line stays cheap in a document of very many lines.
     n = F.greatest(F.lit(1), F.floor(F.sqrt(F.size("_drops")))).cast("int")

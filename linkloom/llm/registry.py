@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, html_extract, importance, line_dedup, ngram_join, quality_rules
+from . import byte_bpe, chat_format, decontaminate, html_extract, importance, line_dedup, ngram_join, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
     "op3_ngram_join": ngram_join.op3_ngram_join,
+    "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_importance": importance.op5_importance,
     "op7_chat_format": chat_format.op7_chat_format,
     "op8_byte_bpe": byte_bpe.op8_byte_bpe,
