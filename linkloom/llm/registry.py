@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import byte_bpe, chat_format, decontaminate, html_extract, importance, line_dedup, ngram_join, quality_rules
+from . import byte_bpe, chat_format, decontaminate, html_extract, importance, line_dedup, ngram_join, quality_rules, token_counts
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1_quality_rules,
+    "op2_token_counts": token_counts.op2_token_counts,
     "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_importance": importance.op5_importance,
