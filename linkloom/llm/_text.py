@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 
-BLOCK = 1 << 20
+BLOCK = 1 << 19
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -25,6 +26,16 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.empty(0, np.uint8) if data is None else np.frombuffer(data, np.uint8)), offsets
 
 
+def slices(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with up to most bytes in a string column (one row may have more): bounds what numpy holds at once."""
+    _, offsets = buffers(batch.column(column))
+    lo = 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(offsets, offsets[lo] + most, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -75,7 +86,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.n
         begins[1:] &= ~inside[:-1] | first[1:-1]
         ends[:-1] &= ~inside[1:] | first[1:-1]
         s, e = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        up, down = _powers(1 << max(21, (hi - lo).bit_length()))
+        up, down = _powers(1 << max(20, (hi - lo).bit_length()))
         sums = np.empty(len(part) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(values[part] * up[: len(part)], out=sums[1:])

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ._state import table
-from ._text import buffers, mix, word_hashes
+from ._text import buffers, mix, slices, word_hashes
 
 BUCKETS = 1 << 14
 KINDS = 3
@@ -44,15 +44,9 @@ def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray,
     yield (pair >> np.uint64(50)).astype(np.int64)[same] + 2 * BUCKETS, at[:m][same]
 
 
-def _slices(batches: Iterator[pa.RecordBatch], rows: int = 400) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for lo in range(0, len(b), rows):
-            yield b.slice(lo, rows)
-
-
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     raw, target = np.zeros(KINDS * BUCKETS, np.int64), np.zeros(KINDS * BUCKETS, np.int64)
-    for b in _slices(batches):
+    for b in (part for batch in batches for part in slices(batch, "text")):
         wanted = np.array(b.column("target").fill_null(False).to_pylist(), bool)
         for bucket, row in _grams(*buffers(b.column("text"))):
             raw += np.bincount(bucket, minlength=len(raw))
@@ -85,7 +79,7 @@ def with_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     """docs with the column _score, the document's log ratio (0 without n-grams)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in _slices(batches):
+        for b in (part for batch in batches for part in slices(batch, "text")):
             score = np.zeros(len(b))
             for bucket, row in _grams(*buffers(b.column("text"))):
                 score += np.bincount(row, weights[bucket], minlength=len(b))
