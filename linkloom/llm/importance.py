@@ -97,8 +97,9 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
 def resample(docs: DataFrame, labels: DataFrame, keep_targets: float = 0.9999, seed: int = SEED, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
     """docs with _score, _noisy (score plus Gumbel noise) and _kept: whether _noisy is among the top k.
 
-    k is the number of documents that are not below the noisy score which the share keep_targets of
-    the labelled target documents reach. Every row is scored over its whole text. Null or empty text
+    k is the number of documents that are not below a floor: half way between the noisy score that the
+    share keep_targets of the labelled target documents reach and the best of the other labelled
+    documents below that (no floor if there is none). Every row is scored over its whole text. Null or empty text
     scores 0. Noise depends on doc_id alone, so repeated rows get one verdict; rows with a null doc_id
     share one noise. Without labelled targets all rows are kept. Other columns pass through; an empty
     table gives an empty table. A doc_id with several labels is a target if all say so.
@@ -106,8 +107,14 @@ def resample(docs: DataFrame, labels: DataFrame, keep_targets: float = 0.9999, s
     sample = labelled(labels, labelled_rows)
     weights = log_ratios(docs, sample)
     noisy = F.col("_score") + gumbel(F.col("doc_id"), seed)
-    targets = docs.select("doc_id", "text").join(F.broadcast(sample.where("target")), F.col("doc_id") == F.col("_labelled")).select("doc_id", "text")
-    floor = with_scores(targets, weights).agg(F.percentile(noisy, 1 - keep_targets)).first()[0]
+    marked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "target")
+    seen = with_scores(marked, weights).select("target", noisy.alias("noisy")).collect()  # at most labelled_rows, but for repeated doc_ids
+    targets, others = (np.array([r.noisy for r in seen if r.target is t]) for t in (True, False))
+    floor = None
+    if len(targets):
+        least = np.quantile(targets, 1 - keep_targets)
+        below = others[others < least]
+        floor = float(least + below.max()) / 2 if len(below) else None
     scored = with_scores(docs, weights).withColumn("_noisy", noisy)
     return scored.withColumn("_kept", F.lit(True) if floor is None else F.col("_noisy") >= F.lit(floor))
 

@@ -1,0 +1,292 @@
+"""Edge cases and brute force for the training-data operators."""
+
+import hashlib
+import random
+import re
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from linkloom.llm import byte_bpe, chat_format, decontaminate, html_extract, importance, line_dedup, ngram_join, quality_rules, secret_scan, secret_train, token_counts
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+LOWER = {c: c + 32 for c in range(65, 91)}
+
+
+def corpus(n=120, seed=1):
+    """Rows with nulls, empty and long texts, ties, exact and near copies, repeated lines and repeated rows."""
+    r = random.Random(seed)
+    word = lambda: "".join(r.choices(["th", "er", "ing", "é", "ß", "on", "A"], k=r.randint(1, 3)))
+    text = lambda k: re.sub("  ", "\n", " ".join(word() + r.choice(["", "", ".", " "]) for _ in range(k)))
+    common = "This line stands in many documents."
+    base = [text(r.randint(40, 90)) for _ in range(12)]
+    rows = [(0, None), (1, ""), (2, " \t\n"), (3, "one"), (4, "One"), (5, "a b c d"), (6, text(3000)), (None, base[0]), (7, None)]
+    for i in range(10, n):
+        u = r.random()
+        t = r.choice(base) if u < 0.5 else text(r.randint(1, 120))
+        if u < 0.35:
+            w = t.split(" ")
+            for _ in range(r.randint(0, 3)):
+                w[r.randrange(len(w))] = word()
+            t = " ".join(w)
+        if r.random() < 0.3:
+            t += "\n  " + common.upper() if r.random() < 0.5 else "\n" + common
+        rows.append((i, t))
+    return rows + rows[20:23]
+
+
+SCHEMA = "doc_id long, text string"
+
+
+def frame(spark, rows):
+    """With further columns whose names the operators might use themselves."""
+    df = spark.createDataFrame([(i, t, 1, "x") for i, t in rows], SCHEMA + ", n_lines int, words string")
+    return df.repartition(5).withColumn("key", F.lit(None).cast("int")).withColumn("score", F.lit(0.5))
+
+
+@pytest.fixture(scope="module")
+def rows():
+    return corpus()
+
+
+@pytest.fixture(scope="module")
+def docs(spark, rows):
+    return frame(spark, rows)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_quality_rules(docs, empty, rows):
+    def figures(t):
+        w = WORD.findall(t or "")
+        grams = defaultdict(list)
+        for p in range(len(w) - 4):
+            grams[tuple(w[p : p + 5])].append(p)
+        covered = {p + k for at in grams.values() if len(at) > 1 for p in at for k in range(5)}
+        lines = [x for x in (t or "").split("\n") if WORD.search(x)]
+        return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t or ""), len(lines) - len(set(lines)), len(covered)
+
+    got = Counter((r.doc_id, r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words, r.base_failed) for r in quality_rules.score_documents(docs).collect())
+    want = Counter((i, *(f := figures(t)), f[0] < 10 or 100 * f[4] > 20 * f[0]) for i, t in rows)
+    assert got == want
+    assert quality_rules.score_documents(empty).count() == 0
+
+
+def test_token_counts(docs, empty, rows):
+    sentencepiece = pytest.importorskip("sentencepiece")
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    model = pytest.importorskip("sentencepiece.sentencepiece_model_pb2").ModelProto()
+    model.ParseFromString(open(path, "rb").read())
+    model.trainer_spec.model_type = 1
+    sp = sentencepiece.SentencePieceProcessor(model_proto=model.SerializeToString())
+    counts = token_counts.load_counts(path)
+    words = {w for _, t in rows for w in (t or "").split() if w.isascii()}
+    assert all(token_counts.count_tokens(w, counts) == len(sp.nbest_encode_as_pieces(w, 1)[0]) for w in sorted(words)[:400])
+    got = {r.doc_id: r.n_tokens for r in token_counts.count_documents(docs, path).collect()}
+    whole = {i: counts.lexicon.count("▁" + t.replace(" ", "▁")) if t else 0 for i, t in rows}
+    assert got == whole
+    assert token_counts.count_documents(empty, path).count() == 0
+
+
+def test_token_ties():
+    lexicon = token_counts.Lexicon({"ab": -2.0, "a": -1.0, "b": -1.0, "c": -1.0, "bc": -1.0}, False)
+    assert lexicon.count("ab") == 1  # of equal scores, the piece that begins first
+    assert lexicon.count("abc") == 2
+    assert token_counts.Lexicon({"a": -1.0}, True).count("aé") == 3
+
+
+def shingle_sets(rows):
+    out = []
+    for i, t in rows:
+        w = WORD.findall((t or "").translate(LOWER))
+        out.append((i, frozenset(tuple(w[k : k + 5]) for k in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])))
+    return out
+
+
+def brute_components(rows):
+    sets = shingle_sets(rows)
+    parent = list(range(len(sets)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a in range(len(sets)):
+        for b in range(a):
+            x, y = sets[a][1], sets[b][1]
+            if x and y and 100 * len(x & y) >= 75 * len(x | y):
+                parent[find(a)] = find(b)
+    least = defaultdict(list)
+    for a, (i, _) in enumerate(sets):
+        least[find(a)].append(i)
+    return Counter((i, len(s), min((j for j in least[find(a)] if j is not None), default=None)) for a, (i, s) in enumerate(sets))
+
+
+def test_ngram_join(docs, empty, rows):
+    got = Counter(tuple(r) for r in ngram_join.join_documents(docs).collect())
+    assert got == brute_components(rows)
+    assert ngram_join.join_documents(empty).count() == 0
+
+
+def test_ngram_join_tiles(docs, rows, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK_BYTES", 2000)
+    assert Counter(tuple(r) for r in ngram_join.join_documents(docs).collect()) == brute_components(rows)
+
+
+def test_decontaminate(spark, docs, empty, rows):
+    r = random.Random(4)
+    passages = [" ".join("".join(r.choices(["ka", "lo", "mi"], k=3)) for _ in range(n)) for n in (30, 25, 9, 3)]
+    items = [(k, p) for k, p in enumerate(passages)] + [(8, None), (9, "?!"), (10, passages[0] + " tail")]
+    near = passages[0].split(" ")
+    near[14] = "changed"
+    extra = [(1000, f"start {passages[0].upper()}, end"), (1001, " ".join(near)), (1002, "x " + passages[3] + "! y"), (1003, passages[1][: len(passages[1]) // 2]), (1004, passages[2])]
+    benchmark = spark.createDataFrame(items, "item_id long, text string").withColumn("f", F.lit(1))
+    words = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    want = {}
+    for i, t in rows + extra:
+        for item, p in items:
+            w, b = words(t), words(p)
+            k = min(5, len(b))
+            if not b:
+                continue
+            g, h = [tuple(w[j : j + k]) for j in range(len(w) - k + 1)], Counter(tuple(b[j : j + k]) for j in range(len(b) - k + 1))
+            m = sum(h.values())
+            best = max((sum((Counter(g[s : s + m]) & h).values()) / (len(g[s : s + m]) + m - sum((Counter(g[s : s + m]) & h).values())) for s in range(max(1, len(g) - m + 1))), default=0)
+            if best >= 0.75:
+                want[i, item] = round(best, 9)
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in decontaminate.contaminated(frame(spark, rows + extra), benchmark).collect()}
+    assert got == want and (1000, 0) in got and (1002, 3) in got and (1003, 1) not in got
+    assert decontaminate.contaminated(empty, benchmark).count() == 0
+    assert decontaminate.contaminated(docs, benchmark.where("false")).count() == 0
+
+
+def test_importance(spark, docs, empty):
+    r = random.Random(5)
+    good = [(i, " ".join("".join(r.choices(["th", "er", "ing"], k=2)) for _ in range(60))) for i in range(200)]
+    bad = [(1000 + i, " ".join("".join(r.choices("#$%&*", k=6)) for _ in range(60))) for i in range(60)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(100)] + [(1000 + i, 0, 0) for i in range(30)] + [(None, 1, 0), (3, None, None)], "doc_id long, quality int, toxic int")
+    kept = {r.doc_id: r._kept for r in importance.resample(frame(spark, good + bad), labels).collect()}
+    assert all(kept[i] for i, _ in good) and not any(kept[i] for i, _ in bad)
+    assert importance.resample(docs, labels.where("false")).where("NOT _kept").count() == 0
+    assert importance.resample(empty, labels).count() == 0
+
+
+def test_secret_scan(spark, docs, empty):
+    key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
+    texts = [(1, f'é line\n token = "{key}" and'), (2, f"commit: {key} is old"), (3, None), (4, ""), (5, "see https://a.example.com/blog/post-1234567890-page")]
+    got = {(r.doc_id, r.start, r.secret): r.is_secret for r in secret_scan.scan(frame(spark, texts)).collect()}
+    assert got[1, texts[0][1].index(key), key] is True
+    assert got[2, 8, key] is False
+    assert not any(v for (d, _, _), v in got.items() if d == 5)
+    assert secret_scan.scan(empty).count() == 0
+    forest = secret_scan.load_forest()
+    r = random.Random(99)
+    made = [secret_train.finding(r) for _ in range(200)]
+    held = secret_scan.with_features(secret_scan.candidates(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(made)], SCHEMA))).collect()
+    right = [(secret_train.predict(forest, {n: row[f"f_{n}"] for n in secret_scan.FEATURES}) >= 0.5) == made[row["doc_id"]][1] for row in held]
+    assert np.mean(right) > 0.97
+
+
+def test_chat_format(spark):
+    events = [
+        (1, 0, 0, "start", "user", "hi"), (1, 1, 0, "start", "assistant", "Hel"), (1, 1, 1, "delta", None, "lo"), (1, 1, 2, "regenerate", None, "Good"), (1, 1, 3, "delta", None, " day"),
+        (1, 0, 5, "edit", None, "hey <|im_end|> <\\|x"), (2, 0, 0, "start", "assistant", None), (None, None, None, "start", None, "z"), (1, 2, 0, "start", "we\nird\\", "t"), (1, 2, 0, "start", "we\nird\\", "t"),
+    ]
+    log = spark.createDataFrame(events, chat_format.EVENTS).withColumn("formatted", F.lit(1))
+    out = chat_format.format_conversations(log).collect()
+    turns = [chat_format.parse(r.formatted) for r in sorted((r for r in out if r.conv_id == 1), key=lambda r: r.message_no)]
+    assert turns == [("user", "hey <|im_end|> <\\|x"), ("assistant", "Good day"), ("we\nird\\", "t"), ("we\nird\\", "t")]
+    back = {r.conv_id: r for r in chat_format.read_back(chat_format.format_conversations(log)).collect()}
+    assert back[1].loss_chars == 8 and back[1].loss_sha256 == hashlib.sha256(b"Good day").hexdigest()
+    assert back[2].loss_chars == 0 and back[None].n_turns == 1
+    assert chat_format.read_back(chat_format.format_conversations(log.where("false"))).count() == 0
+
+
+@pytest.mark.parametrize("s", ["<|", "<\\|", "<\\\\|<|", "a<b|", "<|im_start|>user\n", "\\n", ""])
+def test_chat_escape(s):
+    assert chat_format.unescape(chat_format.escape(s)) == s and "<|" not in chat_format.escape(s)
+    assert chat_format.unescape_role(chat_format.escape_role(s)) == s
+
+
+def test_byte_bpe(docs, empty, rows):
+    tiktoken = pytest.importorskip("tiktoken")
+    import public_tokenizers as p
+
+    path = p.path("byte_bpe_50k.tiktoken")
+    vocabulary = byte_bpe.codec(path)[0]
+    enc = tiktoken.Encoding("own", pat_str=p.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
+    for row in byte_bpe.encode_documents(docs, path, p.PATTERN).collect():
+        texts = [t or "" for i, t in rows if i == row.doc_id]
+        assert any(list(row.ids) == enc.encode_ordinary(t) and row.decoded_sha256 == hashlib.sha256(t.encode()).hexdigest() for t in texts)
+    assert byte_bpe.encode_documents(empty, path, p.PATTERN).count() == 0
+    r = random.Random(2)
+    for _ in range(300):
+        e = byte_bpe.PrefixEncoder(vocabulary, bytes(r.choices(b"thein goa.\n1", k=r.randint(0, 30))))
+        a = r.randint(0, len(e.data))
+        e.replace(a, r.randint(a, len(e.data)), bytes(r.choices(b"thein", k=3)))
+        e.append(b"ing")
+        assert e.ids() == byte_bpe.PrefixEncoder(vocabulary, e.data).ids() == enc._encode_single_piece(e.data)
+    odd = "a  b \n c　d\t\t e's 12 " + "x" * 300 + " \U0001f642"
+    assert b"".join(byte_bpe.encode(odd, path, p.PATTERN)) == np.array(enc.encode_ordinary(odd), "<u4").tobytes()
+
+
+def brute_lines(rows):
+    keys, split = defaultdict(set), {}
+    for n, (i, t) in enumerate(rows):
+        split[n] = (t or "").split("\n")
+        for x in split[n]:
+            k = x.strip(" \t\n\x0b\x0c\r").translate(LOWER)
+            if len(k) >= 20:
+                keys[k].add(n)
+    out = []
+    for n, (i, _) in enumerate(rows):
+        kept = []
+        for x in split[n]:
+            holders = keys.get(x.strip(" \t\n\x0b\x0c\r").translate(LOWER), ())
+            ids = [rows[h][0] for h in holders if rows[h][0] is not None]
+            gone = len(holders) >= 3 and ids and (i is None or i < max(ids))
+            kept += [] if gone else [x]
+        out.append((i, len(split[n]), len(split[n]) - len(kept), "\n".join(kept)))
+    return Counter(out)
+
+
+def test_line_dedup(docs, empty, rows):
+    got = Counter((r.doc_id, r._n_lines, r._n_dropped, r.text) for r in line_dedup.dedup_lines(docs).collect())
+    assert got == brute_lines(rows)
+    assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_html(spark):
+    page = "<html><head><title>t</title></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><article><h1>A &amp; B</h1><p>One\n two<b>three</b><br>four.<p>Five &eacute;&#33;</p><div class='ad'>Buy this now</div></article><section class='comments'><p>Nice one, thanks.</p></section><footer>&copy; x</footer></body></html>"
+    rows = [(1, "u", page), (2, None, None), (3, "v", ""), (None, "w", page[:-150]), (4, "x", "plain <b")]
+    got = {r.page_id: r.text for r in html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit(1))).collect()}
+    assert got[1] == "A & B\nOne twothree four.\nFive é!"
+    assert got[2] == got[3] == ""
+    assert got[None].startswith("A & B\nOne twothree four.")
+
+
+def test_pipeline(spark, tmp_path, rows):
+    folder = str(tmp_path)
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows if i is not None], SCHEMA + ", lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(10, 60)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "Nothing of this stands in any document at all here")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    names = [n for n, _ in corpus_pipeline.STAGES]
+    assert names == ["quality classifier", "line dedup", "n-gram Jaccard join", "benchmark decontamination", "byte-level BPE"]
+    source = spark.read.parquet(f"{folder}/documents.parquet")
+    kept = corpus_pipeline.quality(spark, source, folder)
+    now = [(r.doc_id, r.text) for r in kept.collect()]
+    lines = sorted((i, t) for i, _, _, t in brute_lines(now).elements())
+    least = {(i, c) for i, _, c in brute_components(lines)}
+    want = sorted({i for i, c in least if i == c})
+    got = corpus_pipeline.run(spark, folder)
+    assert sorted(r.doc_id for r in got.collect()) == want
+    assert kept.columns == source.columns
