@@ -237,7 +237,7 @@ query("overlap_fraction", "SELECT round(coalesce(sum(pi() * (s - d) ** 2 * (d **
 query("flatness_cov", "SELECT macro, round(covar_samp(x, x), 6) AS xx, round(covar_samp(x, y), 6) AS xy, round(covar_samp(x, z), 6) AS xz, round(covar_samp(y, y), 6) AS yy, round(covar_samp(y, z), 6) AS yz, round(covar_samp(z, z), 6) AS zz FROM w_pos GROUP BY macro")(lambda w: w.pos().groupBy("macro").agg(*[F.round(F.covar_samp(a, b), 6).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]))
 query("tile_local_index", "SELECT page_id, comm, (row_number() OVER (PARTITION BY comm ORDER BY page_id) - 1)::INT AS local_idx FROM w_memb")(lambda w: layout.local_index(w.memb))
 query("cross_cap", "SELECT page_id, other FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY other) AS r FROM (SELECT u AS page_id, v AS other FROM w_mu WHERE cu <> cv UNION ALL SELECT v, u FROM w_mu WHERE cu <> cv)) WHERE r <= 8")(lambda w: layout.cross_cap(w.und(), w.memb))
-query("names_crosstab", "SELECT macro, count_if(comm % 3 = 0)::BIGINT AS c0, count_if(comm % 3 = 1)::BIGINT AS c1, count_if(comm % 3 = 2)::BIGINT AS c2 FROM w_memb GROUP BY macro")(lambda w: w.memb.groupBy("macro").pivot(F.expr("concat('c', comm % 3)"), ["c0", "c1", "c2"]).agg(F.count(F.lit(1))).fillna(0))
+query("names_crosstab", "SELECT macro, count_if(comm % 3 = 0)::BIGINT AS c0, count_if(comm % 3 = 1)::BIGINT AS c1, count_if(comm % 3 = 2)::BIGINT AS c2 FROM w_memb GROUP BY macro")(lambda w: w.memb.selectExpr("macro", "concat('c', comm % 3) AS class").groupBy("macro").pivot("class", ["c0", "c1", "c2"]).agg(F.count(F.lit(1))).fillna(0))
 query("lpt_bins")(lambda w: w.spark.createDataFrame(layout.lpt_bins(w.memb.groupBy("comm").agg(F.count(F.lit(1)).alias("n")), 4), "comm int, bin int"))
 
 # Solvers

@@ -40,7 +40,7 @@ def detect(und: DataFrame, articles: DataFrame, gamma: float = 1.0, rounds: int
         label = kernels.louvain(len(ids), *_index(ids, g.u.to_numpy(), g.v.to_numpy()), g.w.to_numpy(float), gamma)
         return pd.DataFrame({"c": ids, "l": pd.Series(ids).groupby(label).transform("min")})
 
-    solved = edges.groupBy(F.lit(0)).applyInPandas(solve, "c long, l long")
+    solved = edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(solve, "c long, l long")
     return owner.join(solved, "c", "left").select("page_id", F.coalesce("l", "c").alias("comm"))
 
 
@@ -67,7 +67,7 @@ def cluster(pairs: DataFrame, gamma: float = 1.0) -> DataFrame:
         ids = np.unique(np.concatenate([g.a, g.b]))
         return pd.DataFrame({"comm": ids.astype("int32"), "cluster": kernels.louvain(len(ids), *_index(ids, g.a.to_numpy(), g.b.to_numpy()), g.w.to_numpy(float), gamma).astype("int32")})
 
-    return pairs.groupBy(F.lit(0)).applyInPandas(solve, "comm int, cluster int")
+    return pairs.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(solve, "comm int, cluster int")
 
 
 def layout_local(und: DataFrame, memb: DataFrame, seed: int = 42) -> DataFrame:

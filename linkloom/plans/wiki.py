@@ -46,7 +46,7 @@ ORACLE_ONLY = {
         LEFT JOIN (SELECT cu AS comm, count(*) AS e_in FROM w_mu WHERE cu = cv GROUP BY 1) i ON i.comm = m.comm
         LEFT JOIN (SELECT comm, count(*) AS e_out FROM (SELECT cu AS comm FROM w_mu WHERE cu <> cv UNION ALL SELECT cv FROM w_mu WHERE cu <> cv) GROUP BY comm) o ON o.comm = m.comm
         LEFT JOIN (SELECT comm, count(DISTINCT n) AS nb FROM (SELECT cu AS comm, u AS n FROM w_mu WHERE cu <> cv UNION ALL SELECT cv, v FROM w_mu WHERE cu <> cv) GROUP BY comm) b ON b.comm = m.comm""",
-    "w_pos": "SELECT comm, CAST(comm % 5 AS INT) AS macro, comm * 1.5 AS x, (comm * 7 % 11) * 2.0 AS y, (comm * 3 % 7) * 1.0 AS z, 1.0 + comm % 4 AS radius FROM (SELECT DISTINCT comm FROM w_memb)",
+    "w_pos": "SELECT comm, CAST(comm % 5 AS INT) AS macro, comm * 1.5::DOUBLE AS x, (comm * 7 % 11) * 2.0::DOUBLE AS y, (comm * 3 % 7) * 1.0::DOUBLE AS z, 1.0::DOUBLE + comm % 4 AS radius FROM (SELECT DISTINCT comm FROM w_memb)",
 }
 
 
