@@ -52,10 +52,10 @@ def rank_quantile(df: DataFrame, group: str, value: str, key: str) -> DataFrame:
 
 def galaxy_radius(galaxies: DataFrame, macros: DataFrame, pack: float = 0.6, expo: float = 0.5) -> DataFrame:
     """(comm, radius): by share of the macro's articles, at least 1.5 n^(1/3), scaled down where the volumes exceed the macro."""
-    j = galaxies.join(macros.select("macro", F.col("radius").alias("R"), F.col("n").alias("total")), "macro")
-    r = F.greatest(pack * F.col("R") * F.pow(F.col("n") / F.col("total"), F.lit(expo)), 1.5 * F.cbrt(F.col("n").cast("double")))
-    j = j.withColumn("r", r).withColumn("vol", F.sum(F.col("r") ** 3).over(Window.partitionBy("macro")))
-    return j.select("comm", (F.col("r") * F.least(F.lit(1.0), 0.9 * F.col("R") / F.cbrt("vol"))).alias("radius"))
+    j = galaxies.join(macros.select("macro", F.col("radius").alias("room"), F.col("n").alias("total")), "macro")
+    own = F.greatest(pack * F.col("room") * F.pow(F.col("n") / F.col("total"), F.lit(expo)), 1.5 * F.cbrt(F.col("n").cast("double")))
+    j = j.withColumn("own", own).withColumn("volume", F.sum(F.col("own") ** 3).over(Window.partitionBy("macro")))
+    return j.select("comm", (F.col("own") * F.least(F.lit(1.0), 0.9 * F.col("room") / F.cbrt("volume"))).alias("radius"))
 
 
 def clamp(points: DataFrame, limit: float) -> DataFrame:
