@@ -113,3 +113,15 @@ def lpt_bins(sizes: DataFrame, jobs: int, power: float = 1.93) -> list[tuple[int
         load[b] += n**power
         out.append((g, b))
     return out
+
+
+def adjacency_recall(points: DataFrame, pairs: DataFrame, k: int = 3) -> DataFrame:
+    """(recall, n): mean share of each body's k strongest partners among its k nearest; for the few bodies of one level."""
+    a = points.select(F.col("comm").alias("i"), *[F.col(c).alias("a" + c) for c in "xyz"])
+    b = points.select(F.col("comm").alias("j"), *[F.col(c).alias("b" + c) for c in "xyz"])
+    d2 = (F.col("ax") - F.col("bx")) ** 2 + (F.col("ay") - F.col("by")) ** 2 + (F.col("az") - F.col("bz")) ** 2
+    near = a.join(b, F.col("i") != F.col("j")).withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(d2, "j"))).where(F.col("r") <= k).select("i", "j")
+    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("i"), F.col("b").alias("j"), "w"), F.struct(F.col("b").alias("i"), F.col("a").alias("j"), "w"))).alias("p")).select("p.*")
+    strong = both.withColumn("r", F.row_number().over(Window.partitionBy("i").orderBy(F.desc("w"), "j"))).where(F.col("r") <= k).select("i", "j")
+    hits = strong.join(near.withColumn("hit", F.lit(1)), ["i", "j"], "left").groupBy("i").agg((F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1))).alias("share"))
+    return hits.agg(F.avg("share").alias("recall"), F.count(F.lit(1)).alias("n"))

@@ -234,6 +234,10 @@ query("radial_clamp", "SELECT comm, round(x * f, 6) AS x, round(y * f, 6) AS y,
 query("recompose", "SELECT m.page_id, round(p.x + 1 + (m.page_id % 10 - p.x) * 2, 6) AS x, round(p.y + 1 + (1 - p.y) * 2, 6) AS y, round(p.z + 1 + (0 - p.z) * 2, 6) AS z FROM w_memb m JOIN w_pos p ON p.comm = m.comm")(lambda w: layout.recompose(w.memb.selectExpr("page_id", "comm", "page_id % 10 * 1.0D AS x", "1.0D AS y", "0.0D AS z"), w.pos(), w.pos().selectExpr("comm", "x + 1 AS x", "y + 1 AS y", "z + 1 AS z", "radius * 2 AS radius")).select("page_id", *r6("x", "y", "z")))
 query("spill_list", "SELECT comm, round(d + radius - 12, 6) AS excess FROM (SELECT *, sqrt(x ** 2 + y ** 2 + z ** 2) AS d FROM w_pos) WHERE d + radius > 1.02 * 12 ORDER BY excess DESC, comm LIMIT 20")(lambda w: layout.spills(w.pos(), w.pos().selectExpr("macro", "0.0D AS x", "0.0D AS y", "0.0D AS z", "12.0D AS radius").distinct()).select("comm", *r6("excess")))
 query("overlap_fraction", "SELECT round(coalesce(sum(pi() * (s - d) ** 2 * (d ** 2 + 2 * d * s - 3 * (ra - rb) ** 2) / (12 * d)), 0) / (SELECT sum(pi() * 4 / 3 * radius ** 3) FROM w_pos), 6) AS overlap, count(*) AS n_pairs FROM (SELECT a.radius AS ra, b.radius AS rb, a.radius + b.radius AS s, greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), abs(a.radius - b.radius), 1e-9) AS d FROM w_pos a JOIN w_pos b ON a.comm < b.comm) WHERE d < s")(lambda w: layout.overlap_fraction(w.pos()).select(F.round("overlap", 6).alias("overlap"), "n_pairs"))
+query("adjacency_recall", "SELECT round(avg(s), 6) AS recall, count(*) AS n FROM (SELECT g, avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END) AS s FROM (SELECT t.g, n.j IS NOT NULL AS hit FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY w DESC, o) AS r FROM (SELECT a AS g, b AS o, w FROM w_pairs UNION ALL SELECT b, a, w FROM w_pairs)) WHERE r <= 3) t LEFT JOIN (SELECT * FROM (SELECT a.comm AS i, b.comm AS j, row_number() OVER (PARTITION BY a.comm ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.comm) AS r FROM w_pos a JOIN w_pos b ON a.comm <> b.comm) WHERE r <= 3) n ON n.i = t.g AND n.j = t.o) GROUP BY g)")(lambda w: layout.adjacency_recall(w.pos(), community.pairs(w.und(), w.memb)).select(F.round("recall", 6).alias("recall"), "n"))
+query("pages_inbound_top", "SELECT v AS page_id, count(*) AS n FROM w_und GROUP BY v ORDER BY n DESC, v LIMIT 14")(lambda w: w.und().groupBy(F.col("v").alias("page_id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "page_id").limit(14))
+query("membership_export", "SELECT m.page_id, title, comm, macro FROM w_memb m JOIN w_article a ON a.page_id = m.page_id")(lambda w: w.memb.join(w.article, "page_id").select("page_id", "title", "comm", "macro"))
+query("parsed_pages", "SELECT count(*) AS n_rows, count_if(ns = 0)::BIGINT AS n_ns0, count_if(ns = 0 AND is_redirect)::BIGINT AS n_redirect, count_if(ns = 0 AND NOT is_redirect)::BIGINT AS n_article FROM w_page")(lambda w: w.page.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("ns") == 0).alias("n_ns0"), F.count_if((F.col("ns") == 0) & F.col("is_redirect")).alias("n_redirect"), F.count_if((F.col("ns") == 0) & ~F.col("is_redirect")).alias("n_article")))
 query("flatness_cov", "SELECT macro, round(covar_samp(x, x), 6) AS xx, round(covar_samp(x, y), 6) AS xy, round(covar_samp(x, z), 6) AS xz, round(covar_samp(y, y), 6) AS yy, round(covar_samp(y, z), 6) AS yz, round(covar_samp(z, z), 6) AS zz FROM w_pos GROUP BY macro")(lambda w: w.pos().groupBy("macro").agg(*[F.round(F.covar_samp(a, b), 6).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]))
 query("tile_local_index", "SELECT page_id, comm, (row_number() OVER (PARTITION BY comm ORDER BY page_id) - 1)::INT AS local_idx FROM w_memb")(lambda w: layout.local_index(w.memb))
 query("cross_cap", "SELECT page_id, other FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY other) AS r FROM (SELECT u AS page_id, v AS other FROM w_mu WHERE cu <> cv UNION ALL SELECT v, u FROM w_mu WHERE cu <> cv)) WHERE r <= 8")(lambda w: layout.cross_cap(w.und(), w.memb))
