@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -23,6 +25,9 @@ def detect(und: DataFrame, articles: DataFrame, gamma: float = 1.0, rounds: int
     While there are more than LOCAL_EDGES weighted edges, nodes are merged with their best neighbour in
     parallel rounds; the rest is refined in one group. Isolated articles are communities of their own.
     """
+    sc = und.sparkSession.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():  # none named in spark.checkpoint.dir, as in tests
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="linkloom-"))
     edges = und.select("u", "v", F.lit(1.0).alias("w"))
     owner = articles.select("page_id", F.col("page_id").alias("c"))
     while edges.count() > LOCAL_EDGES and rounds:
