@@ -142,6 +142,21 @@ def test_ngram_join_tiles(docs, rows, monkeypatch):
     assert Counter(tuple(r) for r in ngram_join.join_documents(docs).collect()) == brute_components(rows)
 
 
+def test_ngram_join_same_texts_in_many_partitions(spark):
+    r = random.Random(7)
+    words = ["w%d" % i for i in range(400)]
+    texts = []
+    for _ in range(12):
+        base = r.choices(words, k=40)
+        for share in (10, 22, 28, 34):  # of 40 words kept, the others anew
+            texts.append(" ".join(base[:share] + r.choices(words, k=40 - share)))
+    parts = [r.sample(texts, len(texts)) for _ in range(6)]
+    rows = [(i, t) for i, t in enumerate(t for part in parts for t in part)]
+    same = spark.createDataFrame(spark.sparkContext.parallelize(rows, 6), SCHEMA)
+    assert {tuple(sorted(x.text for x in part)) for part in same.rdd.glom().collect()} == {tuple(sorted(texts))}
+    assert Counter(tuple(x) for x in ngram_join.join_documents(same).collect()) == brute_components(rows)
+
+
 def test_decontaminate(spark, docs, empty, rows):
     r = random.Random(4)
     passages = [" ".join("".join(r.choices(["ka", "lo", "mi"], k=3)) for _ in range(n)) for n in (30, 25, 9, 3)]
