@@ -3,7 +3,10 @@
 Two generative models of hashed n-grams (byte trigrams, words and word pairs, each in BUCKETS
 buckets): one of the labelled target documents, one of all raw text. A document's score is the log of
 the ratio of its likelihoods; Gumbel noise seeded by doc_id makes the top k of the noisy scores a
-sample in proportion to the ratios. k is given, or set so that the labelled targets stay.
+sample in proportion to the ratios. k is set so that the labelled targets stay. A sum over a whole
+text lets ordinary words outweigh a few bad ones, so a document must also pass by its worst passage:
+the least sum, over WINDOW words in a row, of log ratios between the labelled classes (how many of
+their documents hold a word), with a floor from both classes.
 """
 
 from __future__ import annotations
@@ -25,6 +28,12 @@ KINDS = 3
 LABELLED_ROWS = 20_000
 SMOOTHING = 1.0
 SEED = 5
+#: Passages: buckets of folded words, words in a window, documents that the prior counts for.
+PASSAGE_BITS = 20
+WINDOW = 2
+PRIOR = 8.0
+#: A labelled target below the floor of passages weighs as much as so many other labelled documents above it.
+TARGET_COST = 10
 
 
 def _grams(data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -88,6 +97,74 @@ def with_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
 
 
+def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket and row of every word for the passage scores."""
+    words, at = word_hashes(*buffers(col), fold=True)
+    return (words >> np.uint64(64 - PASSAGE_BITS)).astype(np.int64), at
+
+
+def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in (part for batch in batches for part in slices(batch, "text")):
+        wanted = np.array(b.column("target").to_pylist(), bool)
+        bucket, at = _words(b.column("text"))
+        held = np.unique(at << PASSAGE_BITS | bucket)
+        some, where = np.unique(held & ((1 << PASSAGE_BITS) - 1), return_inverse=True)
+        target = np.bincount(where, wanted[held >> PASSAGE_BITS], len(some)).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(target), pa.array(np.bincount(where, minlength=len(some)) - target)], ["bucket", "target", "other"])
+
+
+def passage_ratios(marked: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """log(target / other) by bucket from labelled documents (text, target): for other documents, and for a labelled target
+    and a labelled other, each of which then does not count for itself. None unless both classes have documents."""
+    size = {r.target: r.n for r in marked.groupBy("target").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n, m = size.get(True, 0), size.get(False, 0)
+    if not n or not m:
+        return None
+    counts = marked.mapInArrow(_holders, "bucket int, target long, other long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("other").alias("other")).toArrow()  # at most 1 << PASSAGE_BITS rows
+    target, other = np.zeros(1 << PASSAGE_BITS), np.zeros(1 << PASSAGE_BITS)
+    target[counts.column("bucket").to_numpy()] = counts.column("target").to_numpy()
+    other[counts.column("bucket").to_numpy()] = counts.column("other").to_numpy()
+    a, b = PRIOR * n / (n + m), PRIOR * m / (n + m)
+    ratio = lambda t, o, nt, no: (np.log((t + a) / (nt + a)) - np.log((o + b) / (no + b)) - np.log(a / (nt + a)) + np.log(b / (no + b))).astype(np.float32)
+    return ratio(target, other, n, m), ratio(np.maximum(target - 1, 0), other, n - 1, m), ratio(target, np.maximum(other - 1, 0), n, m - 1)
+
+
+def _worst(values: np.ndarray, at: np.ndarray, rows: int) -> np.ndarray:
+    """Per row the least sum of WINDOW values in a row (fewer at its end), 0 at most."""
+    out = np.zeros(rows)
+    if len(values):
+        sums = np.concatenate([[0.0], np.cumsum(values, dtype=float)])
+        last = np.searchsorted(at, np.arange(rows), "right")
+        window = sums[np.minimum(np.arange(len(values)) + WINDOW, last[at])] - sums[:-1]
+        np.minimum.at(out, at, window)
+    return np.round(out, 6)
+
+
+def with_passages(docs: DataFrame, ratios: tuple[np.ndarray, np.ndarray, np.ndarray], labelled_rows: bool = False) -> DataFrame:
+    """docs with the column _passage, the score of the worst passage; labelled_rows have their class in the column target."""
+    general, of_target, of_other = ratios if labelled_rows else (ratios[0], None, None)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (part for batch in batches for part in slices(batch, "text")):
+            bucket, at = _words(b.column("text"))
+            if labelled_rows:
+                wanted = np.array(b.column("target").to_pylist(), bool)
+                values = np.where(wanted[at], of_target[bucket], of_other[bucket])
+            else:
+                values = general[bucket]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(_worst(values, at, len(b)))], [*b.schema.names, "_passage"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_passage", T.DoubleType())]))
+
+
+def passage_floor(targets: np.ndarray, others: np.ndarray) -> float | None:
+    """The floor that misjudges least (a target below counts TARGET_COST times), half way to the next lower score; None if none rejects."""
+    at = np.unique(np.concatenate([targets, others]))
+    wrong = TARGET_COST * np.searchsorted(np.sort(targets), at) + len(others) - np.searchsorted(np.sort(others), at)
+    best = int(wrong.argmin())
+    return float(at[best - 1] + at[best]) / 2 if best else None
+
+
 def gumbel(doc_id: Column, seed: int = SEED) -> Column:
     """Standard Gumbel noise, the same for a doc_id in every run."""
     u = (F.pmod(F.xxhash64(F.lit(seed), doc_id), F.lit(1 << 52)) + 0.5) / float(1 << 52)
@@ -95,12 +172,13 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
 
 
 def resample(docs: DataFrame, labels: DataFrame, keep_targets: float = 0.9999, seed: int = SEED, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """docs with _score, _noisy (score plus Gumbel noise) and _kept: whether _noisy is among the top k.
+    """docs with _score, _noisy (score plus Gumbel noise), _passage and _kept: whether _noisy is among the top k and no passage is bad.
 
     k is the number of documents that are not below a floor: half way between the noisy score that the
     share keep_targets of the labelled target documents reach and the best of the other labelled
-    documents below that (no floor if there is none). Every row is scored over its whole text. Null or empty text
-    scores 0. Noise depends on doc_id alone, so repeated rows get one verdict; rows with a null doc_id
+    documents below that (no floor if there is none). _passage, the score of the worst passage, has a floor of
+    its own (see passage_floor), for which no labelled document is judged by its own words; without labels of
+    both classes it is 0 and has none. Every row is scored over its whole text. Null or empty text scores 0. Noise depends on doc_id alone, so repeated rows get one verdict; rows with a null doc_id
     share one noise. Without labelled targets all rows are kept. Other columns pass through; an empty
     table gives an empty table. A doc_id with several labels is a target if all say so.
     """
@@ -115,8 +193,14 @@ def resample(docs: DataFrame, labels: DataFrame, keep_targets: float = 0.9999, s
         least = np.quantile(targets, 1 - keep_targets)
         below = others[others < least]
         floor = float(least + below.max()) / 2 if len(below) else None
+    ratios, lowest = passage_ratios(marked), None
+    if ratios:
+        worst = with_passages(marked, ratios, labelled_rows=True).select("target", "_passage").collect()  # as many as seen
+        lowest = passage_floor(*(np.array([r._passage for r in worst if r.target is t]) for t in (True, False)))
     scored = with_scores(docs, weights).withColumn("_noisy", noisy)
-    return scored.withColumn("_kept", F.lit(True) if floor is None else F.col("_noisy") >= F.lit(floor))
+    scored = with_passages(scored, ratios) if ratios else scored.withColumn("_passage", F.lit(0.0))
+    kept = F.lit(True) if floor is None else F.col("_noisy") >= F.lit(floor)
+    return scored.withColumn("_kept", kept if lowest is None else kept & (F.col("_passage") >= F.lit(lowest)))
 
 
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,6 +195,26 @@ def test_importance(spark, docs, empty):
     assert importance.resample(empty, labels).count() == 0
 
 
+def test_importance_bad_words_in_long_texts(spark):
+    r = random.Random(6)
+    text = lambda k: ["".join(r.choices(["th", "er", "ing", "on"], k=2)) for _ in range(k)]
+    good = [(i, " ".join(text(r.choice([2, 30, 400])))) for i in range(300)]
+    bad = []
+    for i in range(120):
+        w = text(400)
+        w.insert(r.randrange(400), "Scum")
+        bad.append((1000 + i, " ".join(w)))
+    junk = [(3000 + i, " ".join("".join(r.choices("#$%&*", k=6)) for _ in range(400))) for i in range(60)]  # so that ordinary words speak for a text
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(200)] + [(1000 + i, 1, 1) for i in range(60)], "doc_id long, quality int, toxic int")
+    unseen = [(2000, "words that no label has " * 20), (2001, None), (2002, "")]
+    kept = {x.doc_id: x._kept for x in importance.resample(frame(spark, good + bad + junk + unseen[1:]), labels).collect()}
+    assert not any(kept[i] for i, _ in bad)
+    assert np.mean([kept[i] for i, _ in good]) > 0.99
+    marked = spark.createDataFrame([(t, True) for _, t in good] + [(t, False) for _, t in bad], "text string, target boolean")
+    scores = importance.with_passages(frame(spark, unseen), importance.passage_ratios(marked)).collect()
+    assert all(x._passage == 0 for x in scores)
+
+
 def test_secret_scan(spark, docs, empty):
     key = "04dbebab91ab85687d33eeaaf9ac699e1188f962"
     texts = [(1, f'é line\n token = "{key}" and'), (2, f"commit: {key} is old"), (3, None), (4, ""), (5, "see https://a.example.com/blog/post-1234567890-page")]
