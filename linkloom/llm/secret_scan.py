@@ -1,6 +1,8 @@
 """Operator 6, secret scans: DataFrame and SQL functions only.
 
-Candidates are long runs of key characters with a digit. A random forest judges each by length,
+Candidates are long runs of key characters with a digit, with the prefix of a known kind of key, or
+behind an assignment or a word that names secrets, and values of any length and characters that are
+assigned to such a name. A random forest judges each by length,
 character transitions, dictionary coverage, path and neighbouring words, and takes out false
 positives. The forest in secret_forest.json was trained by secret_train.py from labelled findings; it
 runs as nested CASE expressions, so scoring stays in the generated code of the scan.
@@ -17,7 +19,13 @@ from pyspark.sql import functions as F
 
 from ._state import table
 
-CANDIDATE = r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]{0,200}[0-9])[A-Za-z0-9+/_-]{16,}={0,2}"
+NAMES = "(?i:secret|token|passw|passphrase|pwd|key|auth|bearer|credential|private)"
+CANDIDATE = (
+    r"(?<![A-Za-z0-9+/_-])(?:(?:(?=[A-Za-z+/_-]*+[0-9])|(?=[A-Za-z+/_-]{16})(?!//)(?:(?<=[=:]\s{0,2}[\"']?)|(?<=" + NAMES + r"[^\n]{0,40})))[A-Za-z0-9+/_-]{16,}={0,2}"
+    r"|(?:AKIA|ASIA|gh[pousr]_|sk_(?:live|test)_|xox[a-z]-)[A-Za-z0-9+/_-]{12,}={0,2}"
+    r"|(?:(?<=[=:]\s{0,2}[\"']?)(?<=" + NAMES + r"[A-Za-z0-9_ -]{0,24}[\"']?\s{0,2}:?[=:]\s{0,2}[\"']?)|(?<=(?i:passw(?:or)?d|passphrase|pwd|bearer) (?:is )?[\"']?))"
+    r"(?!(?i:bearer|basic)\b)(?![=:]|//)[^\s\"'`<>,;]*[^\s\"'`<>,;.)])"
+)
 BEFORE, AFTER = 48, 24
 #: Frequent words inside names, paths and sample values; longer ones first.
 DICTIONARY = "placeholder password example version default article content product service request account session profile picture sample secret public system update manager config report upload search change string number system image index value table class model theme style asset token order event group query state world hello media video local admin login build cache date page file name user data item list code test main text http html json type info page blog post shop view and for the net www com org key api img css app".split()
@@ -35,7 +43,11 @@ FEATURES = {
     "assigned": "CAST(before RLIKE '[=:]\\\\s{0,2}[\"\\']?$' OR before RLIKE '(?i)bearer $' AS DOUBLE)",
     "secret_word": "CAST(before RLIKE '(?i)secret|token|passw|api.?key|access.?key|auth|bearer|credential|private' AS DOUBLE)",
     "hash_word": "CAST(before RLIKE '(?i)sha\\\\d*|md5|commit|checksum|digest|uuid|etag|revision|hash|build|isbn|order|invoice|phone|iban' AS DOUBLE)",
-    "sample_word": "CAST(concat(before, c) RLIKE '(?i)example|sample|dummy|placeholder|your|xxxx|test' AS DOUBLE)",
+    "quoted": "CAST(before RLIKE '[\"\\']$' AS DOUBLE)",
+    "equals": "CAST(before RLIKE '=\\\\s{0,2}[\"\\']?$' AS DOUBLE)",
+    "code": "CAST(c RLIKE '[.({$\\\\[][A-Za-z]|[)}]$' AS DOUBLE)",
+    "state_word": "CAST(c RLIKE '(?i)^(none|null|nil|true|false|required|optional|string|hidden|missing|changed|expired|invalid|empty|unset|below|see|is|reset|redacted|[*x.-]+)$' AS DOUBLE)",
+    "sample_word": "CAST(concat(right(before, 16), c) RLIKE '(?i)example|sample|dummy|placeholder|your|xxxx|test' AS DOUBLE)",
 }
 
 
