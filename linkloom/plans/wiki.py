@@ -12,8 +12,8 @@ VIEWS = {
         page_id + CASE page_id % 20 WHEN 7 THEN -6 WHEN 8 THEN -1 WHEN 10 THEN 1 WHEN 11 THEN -1 ELSE 0 END) AS rd_title FROM w_page WHERE ns = 0 AND is_redirect""",
     "w_linktarget": "SELECT page_id AS lt_id, ns, title FROM w_page UNION ALL SELECT 1000000 + s_suppkey, 0, concat('Red_', s_suppkey) FROM supplier",
     "w_pagelinks": """SELECT a.l_partkey AS pl_from, CASE WHEN a.l_partkey % 50 = 13 THEN 14 ELSE 0 END AS pl_from_ns, b.l_partkey AS lt_id
-        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber < b.l_linenumber AND a.l_orderkey % 4 = 0
-        UNION ALL SELECT l_partkey, CASE WHEN l_partkey % 50 = 13 THEN 14 ELSE 0 END, 1000000 + l_suppkey FROM lineitem WHERE l_linenumber = 1 AND l_orderkey % 10 = 0""",
+        FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey WHERE a.l_linenumber < b.l_linenumber
+        UNION ALL SELECT l_partkey, CASE WHEN l_partkey % 50 = 13 THEN 14 ELSE 0 END, 1000000 + l_suppkey FROM lineitem WHERE l_linenumber = 1""",
     "w_article": "SELECT page_id, title FROM w_page WHERE ns = 0 AND NOT is_redirect",
     "w_memb": "SELECT page_id, CAST(page_id % 25 AS INT) AS comm, CAST(page_id % 5 AS INT) AS macro FROM w_page WHERE ns = 0 AND NOT is_redirect",
     "w_category": "SELECT s_suppkey AS lt_id, concat('Category_', s_suppkey) AS title FROM supplier",

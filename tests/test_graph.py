@@ -1,6 +1,7 @@
 import numpy as np
 
 from linkloom.operators import catalog, community, graph, kernels, layout, resolve
+from linkloom.plans import wiki
 
 
 def frame(spark, rows, schema):
@@ -19,6 +20,17 @@ def test_resolution_reasons(spark):
     assert {x[2] for x in got} == {"kept", "target_dangling_redirect", "target_redlink", "target_non_ns0", "from_non_ns0", "src_is_redirect", "src_not_article", "self_loop"}
 
 
+def test_pagelinks_of_all_orders(spark):
+    w = wiki.Wiki(spark, "/root/testdata/sf0.001")
+    lines = [(r.l_orderkey, r.l_linenumber) for r in spark.table("lineitem").select("l_orderkey", "l_linenumber").collect()]
+    per = {}
+    for order, line in lines:
+        per.setdefault(order, []).append(line)
+    links = sum(a < b for at in per.values() for a in at for b in at)
+    assert w.pagelinks.where("lt_id < 1000000").count() == links
+    assert w.pagelinks.where("lt_id >= 1000000").count() == sum(line == 1 for _, line in lines)
+
+
 def test_community_invariants(spark):
     rng = np.random.default_rng(1)
     e = {(min(a, b), max(a, b)) for a, b in rng.integers(0, 40, (150, 2)).tolist() if a != b}
