@@ -5,11 +5,14 @@ from __future__ import annotations
 import numpy as np
 
 
-def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, gamma: float = 1.0, seed: int = 42, passes: int = 10) -> np.ndarray:
-    """Community of each of n nodes by local moves and contraction, then split into connected parts."""
-    label, level = np.arange(n), (n, a, b, w, np.zeros(n))
+def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, gamma: float = 1.0, seed: int = 42, passes: int = 10, loops: np.ndarray | None = None) -> np.ndarray:
+    """Community of each of n nodes by local moves and contraction, then split into connected parts.
+
+    loops: weight of the edges inside each node, where nodes stand for groups.
+    """
+    label, level = np.arange(n), (n, a, b, w, np.zeros(n) if loops is None else loops)
     rng = np.random.default_rng(seed)
-    m2 = 2.0 * w.sum()
+    m2 = 2.0 * (w.sum() + level[4].sum())
     if not m2:
         return label
     for _ in range(passes):

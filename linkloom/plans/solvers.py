@@ -19,34 +19,89 @@ def _index(ids: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [np.searchsorted(ids, c) for c in columns]
 
 
-def detect(und: DataFrame, articles: DataFrame, gamma: float = 1.0, rounds: int = 3) -> DataFrame:
+def _move(edges: DataFrame, owner: DataFrame, m2: float, gamma: float, rounds: int = 8) -> DataFrame:
+    """owner (x, c) after rounds in which nodes go where modularity gains most; edges (u, v, w), u = v inside a node.
+
+    In a round the nodes of one half by hash move at once, so that two neighbours rarely swap places.
+    """
+    sides = edges.where("u <> v").select("u", "v", "w").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    strength = edges.select(F.explode(F.array("u", "v")).alias("x"), "w").groupBy("x").agg(F.sum("w").alias("k")).checkpoint()
+    still = 0
+    for r in range(rounds):
+        volume = owner.join(strength, "x").groupBy("c").agg(F.sum("k").alias("vol"))
+        near = sides.join(owner.select(F.col("x").alias("v"), "c"), "v").groupBy(F.col("u").alias("x"), "c").agg(F.sum("w").alias("w"))
+        own = owner.join(strength, "x").select("x", F.col("c").alias("own"), "k").where(F.pmod(F.xxhash64("x", F.lit(r // 2)), F.lit(2)) == r % 2)
+        choices = near.unionByName(owner.select("x", "c", F.lit(0.0).alias("w"))).groupBy("x", "c").agg(F.sum("w").alias("w"))
+        gain = F.col("w") - F.lit(gamma / m2) * F.col("k") * (F.col("vol") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0))
+        scored = choices.join(own, "x").join(volume, "c").select("x", "c", "own", F.round(gain, 9).alias("gain"))
+        best = scored.groupBy("x").agg(F.max(F.struct("gain", (F.col("c") == F.col("own")).alias("stay"), (-F.col("c")).alias("c"))).alias("b")).select("x", (-F.col("b.c")).alias("to"))
+        moved = owner.join(best, "x", "left").select("x", F.coalesce("to", "c").alias("c"), (F.coalesce("to", "c") != F.col("c")).alias("moved")).checkpoint()
+        still = 0 if moved.where("moved").count() else still + 1
+        owner = moved.select("x", "c")
+        if still == 2:  # neither half
+            break
+    return owner
+
+
+def _connected(edges: DataFrame, owner: DataFrame) -> DataFrame:
+    """owner (x, c) with each community split into connected parts; c is the least node of the part."""
+    inside = edges.join(owner.select(F.col("x").alias("u"), F.col("c").alias("cu")), "u").join(owner.select(F.col("x").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").select("u", "v")
+    sides = inside.unionByName(inside.select(F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
+    now = owner.select("x", F.col("x").alias("c"))
+    while True:
+        near = sides.join(now.select(F.col("x").alias("v"), "c"), "v").groupBy(F.col("u").alias("x")).agg(F.min("c").alias("m"))
+        step = now.join(near, "x", "left").select("x", F.least("c", "m").alias("n"), "c")
+        up = step.select(F.col("x").alias("n"), F.col("n").alias("nn"))  # a root's own root, so that chains halve
+        step = step.join(up, "n", "left").select("x", F.least("n", "nn").alias("n"), "c").checkpoint()
+        if not step.where("n <> c").count():
+            return step.select("x", "c")
+        now = step.select("x", F.col("n").alias("c"))
+
+
+def detect(und: DataFrame, articles: DataFrame, gamma: float = 1.0) -> DataFrame:
     """(page_id, comm): communities of the whole graph.
 
-    While there are more than LOCAL_EDGES weighted edges, nodes are merged with their best neighbour in
-    parallel rounds; the rest is refined in one group. Isolated articles are communities of their own.
+    While there are more than LOCAL_EDGES weighted edges, nodes move in parallel rounds as modularity gains and
+    their communities become the nodes of a smaller graph; the rest is refined in one group. After that
+    the articles themselves move once more, so none is tied to what it was merged with, and
+    communities are split into connected parts. Isolated articles are communities of their own.
     """
     sc = und.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():  # none named in spark.checkpoint.dir, as in tests
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="linkloom-"))
-    edges = und.select("u", "v", F.lit(1.0).alias("w"))
+    whole = edges = und.select("u", "v", F.lit(1.0).alias("w"))
     owner = articles.select("page_id", F.col("page_id").alias("c"))
-    while edges.count() > LOCAL_EDGES and rounds:
-        rounds -= 1
-        sides = edges.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.col("v").alias("y"), "w"), F.struct(F.col("v").alias("x"), F.col("u").alias("y"), "w"))).alias("s")).select("s.*")
-        best = sides.groupBy("x").agg(F.max(F.struct("w", -F.col("y"))).alias("b")).select("x", F.least("x", -F.col("b")["col2"]).alias("to"))
-        owner = owner.join(best, F.col("c") == F.col("x"), "left").select("page_id", F.coalesce("to", "c").alias("c"))
-        a, b = best.select(F.col("x").alias("u"), F.col("to").alias("cu")), best.select(F.col("x").alias("v"), F.col("to").alias("cv"))
-        edges = edges.join(a, "u").join(b, "v").where("cu <> cv").groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w"))
-        edges, owner = edges.checkpoint(), owner.checkpoint()
+    n_edges = edges.count()
+    m2, merged, fits = 2.0 * n_edges, False, True
+    while n_edges > LOCAL_EDGES:
+        nodes = edges.select(F.explode(F.array("u", "v")).alias("x")).distinct()
+        to = _move(edges, nodes.select("x", F.col("x").alias("c")), m2, gamma).withColumnRenamed("c", "to")
+        if not to.where("x <> to").count():  # no move gains: these are the communities
+            fits = False
+            break
+        owner = owner.join(to, F.col("c") == F.col("x"), "left").select("page_id", F.coalesce("to", "c").alias("c")).checkpoint()
+        a, b = to.select(F.col("x").alias("u"), F.col("to").alias("cu")), to.select(F.col("x").alias("v"), F.col("to").alias("cv"))
+        edges = edges.join(a, "u").join(b, "v").groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w")).checkpoint()
+        n_edges, merged = edges.where("u <> v").count(), True
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["u", "v"])
         ids = np.unique(np.concatenate([g.u, g.v]))
-        label = kernels.louvain(len(ids), *_index(ids, g.u.to_numpy(), g.v.to_numpy()), g.w.to_numpy(float), gamma)
+        e, inner = g[g.u != g.v], g[g.u == g.v]
+        loops = np.zeros(len(ids))
+        loops[np.searchsorted(ids, inner.u.to_numpy())] = inner.w.to_numpy(float)
+        label = kernels.louvain(len(ids), *_index(ids, e.u.to_numpy(), e.v.to_numpy()), e.w.to_numpy(float), gamma, loops=loops)
         return pd.DataFrame({"c": ids, "l": pd.Series(ids).groupby(label).transform("min")})
 
-    solved = edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(solve, "c long, l long")
-    return owner.join(solved, "c", "left").select("page_id", F.coalesce("l", "c").alias("comm"))
+    if fits:
+        solved = edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(solve, "c long, l long")
+        owner = owner.join(solved, "c", "left").select("page_id", F.coalesce("l", "c").alias("c"))
+    if merged:
+        linked = whole.select(F.explode(F.array("u", "v")).alias("x")).distinct()
+        start = owner.withColumnRenamed("page_id", "x").join(linked, "x", "left_semi").checkpoint()
+        final = _connected(whole, _move(whole, start, m2, gamma)).select(F.col("x").alias("page_id"), F.col("c").alias("l"))
+        owner = owner.join(final, "page_id", "left").select("page_id", F.coalesce("l", "c").alias("c"))
+    return owner.select("page_id", F.col("c").alias("comm"))
 
 
 def subdivide(und: DataFrame, memb: DataFrame, max_size: int, seed: int = 42) -> DataFrame:

@@ -1,7 +1,7 @@
 import numpy as np
 
 from linkloom.operators import catalog, community, graph, kernels, layout, resolve
-from linkloom.plans import wiki
+from linkloom.plans import solvers, wiki
 
 
 def frame(spark, rows, schema):
@@ -86,6 +86,30 @@ def test_louvain_and_subdivide():
     assert np.bincount(parts).max() <= 8
 
 
+def test_detect_beyond_one_group(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    n, k = 240, 12
+    ids = rng.permutation(n) * 7  # ids say nothing about communities
+    e = {(min(a, b), max(a, b)) for a, b in ((ids[i], ids[j]) for i in range(n) for j in range(i) if rng.random() < (0.5 if i % k == j % k else 0.02))}
+    und = frame(spark, [(int(a), int(b)) for a, b in sorted(e)], "u long, v long")
+    articles = frame(spark, [(int(i),) for i in ids] + [(10_000,)], "page_id long")
+
+    def quality():
+        memb = solvers.detect(und, articles).collect()
+        c = {r.page_id: r.comm for r in memb}
+        assert len(memb) == len(c) == n + 1 and list(c.values()).count(c[10_000]) == 1
+        m = len(e)
+        volume = {}
+        for a, b in e:
+            for x in (c[a], c[b]):
+                volume[x] = volume.get(x, 0) + 1
+        return sum(c[a] == c[b] for a, b in e) / m - sum(v * v for v in volume.values()) / (4 * m * m)
+
+    one_group = quality()
+    monkeypatch.setattr(solvers, "LOCAL_EDGES", 400)
+    assert quality() > one_group - 0.03
+
+
 def test_layout_and_tile():
     n, a, b = two_cliques()
     p = kernels.force_layout(n, a, b, np.ones(len(a)))
