@@ -84,17 +84,25 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     return np.log(share(target) / share(raw)).astype(np.float32)
 
 
-def with_scores(docs: DataFrame, weights: np.ndarray) -> DataFrame:
-    """docs with the column _score, the document's log ratio (0 without n-grams)."""
+def with_scores(docs: DataFrame, weights: np.ndarray, passages: np.ndarray | None = None) -> DataFrame:
+    """docs with the column _score, the document's log ratio (0 without n-grams), and _passage if there are ratios for passages.
+
+    Both in one pass: a second one would be a second Python worker on each core.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "text")):
             score = np.zeros(len(b))
             for bucket, row in _grams(*buffers(b.column("text"))):
                 score += np.bincount(row, weights[bucket], minlength=len(b))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(np.round(score, 6))], [*b.schema.names, "_score"])
+            new = [pa.array(np.round(score, 6))]
+            if passages is not None:
+                bucket, at = _words(b.column("text"))
+                new.append(pa.array(_worst(passages[bucket], at, len(b))))
+            yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_score", T.DoubleType())]))
+    names = ["_score"] if passages is None else ["_score", "_passage"]
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]]))
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -197,8 +205,8 @@ def resample(docs: DataFrame, labels: DataFrame, keep_targets: float = 0.9999, s
     if ratios:
         worst = with_passages(marked, ratios, labelled_rows=True).select("target", "_passage").collect()  # as many as seen
         lowest = passage_floor(*(np.array([r._passage for r in worst if r.target is t]) for t in (True, False)))
-    scored = with_scores(docs, weights).withColumn("_noisy", noisy)
-    scored = with_passages(scored, ratios) if ratios else scored.withColumn("_passage", F.lit(0.0))
+    scored = with_scores(docs, weights, ratios[0] if ratios else None).withColumn("_noisy", noisy)
+    scored = scored if ratios else scored.withColumn("_passage", F.lit(0.0))
     kept = F.lit(True) if floor is None else F.col("_noisy") >= F.lit(floor)
     return scored.withColumn("_kept", kept if lowest is None else kept & (F.col("_passage") >= F.lit(lowest)))
 
