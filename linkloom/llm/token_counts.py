@@ -2,17 +2,25 @@
 
 An Aho-Corasick automaton over the unigram vocabulary lists all pieces that end at each place of a
 text; dynamic programming carries the best score and the number of pieces to that place, nothing
-else. Ties go as in the tokenizer: of equal scores, the piece that begins first stays. No piece of
-these vocabularies has a space mark behind another character, so a text falls into stretches (space
-marks and what follows) whose counts add up, and counts of short stretches are kept.
-
-The piece files here carry scores; a file made for merging is read as a unigram lexicon with them.
-Scores are added in double precision within a stretch.
+else. It follows the plain encoding of the sentencepiece library in unigram mode (its optimised search,
+not the lattice of its n-best lists) to the bit: scores are 32-bit floats; of equal scores the piece
+that begins first stays; and where the best score at a place lies more than REBASE from 0, it is taken
+off there and from all scores already known behind it, which rounds those once more.
+
+No piece of these vocabularies has a space mark behind another character, so the best way to cut a text
+passes between its stretches (space marks and what follows). In the file on the box the mark alone
+scores -1e9, so every stretch is rebased behind its mark, and what came before it matters only through
+how the scores of its first pieces fall on the grid of 32-bit floats at -1e9. What a stretch adds is
+kept for each such case. With other vocabularies whole texts are searched.
+
+The piece file on the box is made for merging; it is read as a unigram lexicon with its scores.
 """
 
 from __future__ import annotations
 
+import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -27,56 +35,144 @@ MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 CACHE_ENTRIES = 400_000
 STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+#: Whole numbers below this are exact as 32-bit floats.
+EXACT = 1 << 24
+#: A best score farther from 0 is taken off.
+REBASE = 100_000
+
+
+def rounded(x: float) -> float:
+    """x as the nearest 32-bit float; whole numbers stay Python integers."""
+    if isinstance(x, int):
+        z = -x if x < 0 else x
+        if z < EXACT:
+            return x
+        e = z.bit_length() - 24
+        z = (z + (1 << (e - 1)) - 1 + ((z >> e) & 1)) >> e << e
+        return -z if x < 0 else z
+    m, e = math.frexp(x)
+    return math.ldexp(round(math.ldexp(m, 24)), e - 24)
 
 
 class Lexicon:
     """Pieces with scores; characters without a piece count as their bytes if the vocabulary has byte pieces, else as one."""
 
     def __init__(self, scores: dict[str, float], byte_fallback: bool, dummy_prefix: bool = True):
-        self.scores, self.byte_fallback, self.dummy_prefix = scores, byte_fallback, dummy_prefix
-        self.unknown = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in scores)
+        self.whole = all(float(s).is_integer() for s in scores.values())
+        kind = int if self.whole else float
+        self.scores, self.byte_fallback, self.dummy_prefix = {p: rounded(kind(s)) for p, s in scores.items()}, byte_fallback, dummy_prefix
+        self.unknown = rounded(min(self.scores.values(), default=kind(0)) - kind(UNKNOWN_PENALTY))
         self.automaton = ahocorasick.Automaton()
-        for piece, score in scores.items():
+        for piece, score in self.scores.items():
             self.automaton.add_word(piece, (len(piece), score))
         if scores:
             self.automaton.make_automaton()
-
-    def count(self, stretch: str) -> int:
-        """Pieces of the best way to cut a stretch."""
-        n = len(stretch)
-        best, pieces = [0.0] + [None] * n, [0] * (n + 1)
-        ends: list[list[tuple[int, float]]] = [[] for _ in range(n + 1)]
+        self.longest = max(map(len, scores), default=1)
+        self.grid = self._grid()
+
+    def _grid(self) -> int:
+        """Distance of 32-bit floats at the score of the mark; 0 if stretches cannot be kept by it."""
+        mark = self.scores.get(MARK, 0)
+        apart = not any(re.search(f"[^{MARK}]{MARK}", p) for p in self.scores)
+        if not (self.whole and apart and self.dummy_prefix and mark < -8 * REBASE and self.unknown <= mark):
+            return 0
+        e = (-mark).bit_length() - 24
+        others = [s for s in self.scores.values() if s != mark]
+        room = 4 * REBASE - 2 * min(others, default=0)
+        fits = e > 0 and -mark >> (23 + e) == -mark - room >> (23 + e) == -mark + room >> (23 + e) and mark % (2 << e) == 0
+        return 1 << e if fits and max(others, default=0) <= 0 and min(others, default=0) > -REBASE else 0
+
+    def search(self, text: str, before: float = 0) -> tuple[int, float]:
+        """Pieces of the best way to cut a text, and the score behind it (less what was taken off) where it is before ahead of it."""
+        n, whole, longest = len(text), self.whole, self.longest
+        best, pieces = [before] + [None] * n, [0] * (n + 1)
+        ends: list[list[tuple[int, float]] | None] = [None] * (n + 1)  # by beginning
         if self.scores:
-            for end, found in self.automaton.iter(stretch):
-                ends[end + 1].append(found)
-        for end in range(1, n + 1):
+            for end, (length, score) in self.automaton.iter(text):
+                at = end + 1 - length
+                if ends[at] is None:
+                    ends[at] = [(end + 1, score)]
+                else:
+                    ends[at].append((end + 1, score))
+        for at in range(n):
+            b, k = best[at], pieces[at] + 1
+            if not -REBASE <= b <= REBASE:
+                for end in range(at + 1, min(n, at + longest) + 1):
+                    if best[end] is not None:
+                        best[end] = rounded(best[end] - b)
+                b = 0
             single = False
-            top, k = None, 0
-            for length, score in sorted(ends[end], reverse=True):
-                single |= length == 1
-                if top is None or best[end - length] + score > top:
-                    top, k = best[end - length] + score, pieces[end - length] + 1
-            if not single and (top is None or best[end - 1] + self.unknown > top):
-                top, k = best[end - 1] + self.unknown, pieces[end - 1] + (len(stretch[end - 1].encode()) if self.byte_fallback else 1)
-            best[end], pieces[end] = top, k
-        return pieces[n]
+            for end, score in ends[at] or ():
+                score += b
+                if not whole or not -EXACT < score < EXACT:
+                    score = rounded(score)
+                if best[end] is None or score > best[end]:
+                    best[end], pieces[end] = score, k
+                single |= end == at + 1
+            if not single:
+                score = rounded(self.unknown + b)
+                if best[at + 1] is None or score > best[at + 1]:
+                    best[at + 1], pieces[at + 1] = score, k - 1 + (len(text[at].encode("utf-8", "surrogatepass")) if self.byte_fallback else 1)
+        return pieces[n], best[n]
+
+    def count(self, text: str) -> int:
+        return self.search(text)[0]
 
 
 class Counts(dict):
-    """Stretch without its first space mark -> pieces; fills itself."""
+    """Stretch without its first space mark -> where a score ahead of it makes a difference, and (pieces, score behind it) between; fills itself.
+
+    A score ahead matters by its distance d from the grid: a first piece of score s gets d + s rounded
+    to the grid, in steps as d grows.
+    """
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
-        self.lexicon = lexicon
-
-    def __missing__(self, rest: str) -> int:
-        n = self.lexicon.count(MARK + rest)
+        self.lexicon, self.half = lexicon, lexicon.grid // 2
+        self.mark = lexicon.scores.get(MARK, 0)
+        self.steps: dict[int, list[int]] = {}
+        self.off: dict[int, int] = {}  # at most 2 * REBASE + 1 entries
+
+    def off_grid(self, score: int) -> int:
+        if (d := self.off.get(score)) is None:
+            d = self.off[score] = score - (rounded(self.mark + score) - self.mark)
+        return d
+
+    def _steps(self, score: int) -> list[int]:
+        key = score % (4 * self.half)
+        if key not in self.steps:
+            at = [rounded(-self.mark + d + key) for d in range(-self.half, self.half + 1)]
+            self.steps[key] = [d - self.half for d in range(1, len(at)) if at[d] != at[d - 1]]
+        return self.steps[key]
+
+    def __missing__(self, rest: str) -> tuple[list[int], list]:
+        whole, cuts = MARK + rest, set()
+        for n in range(2, min(len(whole), self.lexicon.longest) + 1):
+            score = self.lexicon.scores.get(whole[:n])
+            if score is not None and score != self.mark:
+                cuts.update(self._steps(score))
+        out = sorted(cuts), [None] * (len(cuts) + 1)
         if len(rest) <= 32:
             if len(self) >= CACHE_ENTRIES:
                 self.clear()
-            self[rest] = n
-        return n
+            self[rest] = out
+        return out
+
+    def walk(self, rest: list[str], score: int) -> int:
+        """Pieces of stretches in a row (each without its first mark) behind a score."""
+        total, search = 0, self.lexicon.search
+        for r in rest:
+            cuts, known = self[r]
+            if -REBASE <= score <= REBASE:
+                case = bisect_right(cuts, self.off_grid(score)) if cuts else 0
+            else:
+                score = 0
+                case = bisect_right(cuts, 0) if cuts else 0
+            if (found := known[case]) is None:
+                found = known[case] = search(MARK + r, score)
+            total += found[0]
+            score = found[1]
+        return total
 
 
 def count_tokens(text: str, counts: Counts) -> int:
@@ -84,12 +180,10 @@ def count_tokens(text: str, counts: Counts) -> int:
     lexicon = counts.lexicon
     if not text:
         return 0
-    if lexicon.apart and lexicon.dummy_prefix and "  " not in text and MARK not in text and text[0] != " ":
-        return sum(map(counts.__getitem__, text.split(" ")))
+    if lexicon.grid and "  " not in text and MARK not in text and text[0] != " ":
+        return counts.walk(text.split(" "), 0)
     marked = (MARK if lexicon.dummy_prefix else "") + text.replace(" ", MARK)
-    if not lexicon.apart:
-        return lexicon.count(marked)
-    return sum(counts[m.group()[1:]] if m.group()[0] == MARK else lexicon.count(m.group()) for m in STRETCH.finditer(marked))
+    return counts.walk([m.group()[1:] for m in STRETCH.finditer(marked)], 0) if lexicon.grid else lexicon.count(marked)
 
 
 @lru_cache(maxsize=2)
