@@ -24,7 +24,7 @@ from ._state import table
 K = 5
 THRESHOLD = (3, 4)  # 0.75
 RADIUS = 24
-SLICE_SHINGLES = 1_000_000
+SLICE_SHINGLES = 500_000
 
 
 def _words(text: Column) -> Column:
@@ -79,28 +79,47 @@ def _common(a: Column, b: Column) -> Column:
     return F.when((F.size(F.array_distinct(a)) == F.size(a)) | (F.size(F.array_distinct(b)) == F.size(b)), plain).otherwise(weighted)
 
 
-def _slice(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
-    shingles = items.select("item_id", "m", F.explode(F.array_distinct("g")).alias("h"))
-    # explode(array(x)) keeps x from being worked out again in each place that uses it.
-    grams = _grams(F.col("words"), k)
-    split = docs.select("doc_id", F.explode(F.array(_words(F.col("text")))).alias("words"))
-    places = split.select("doc_id", F.posexplode(grams).alias("i", "h")).join(F.broadcast(shingles), "h")
-    places = places.groupBy("doc_id", "item_id", "m").agg(F.collect_set("i").alias("p"))
-    # A window of w <= m shingles needs 3/7 of (m + w), w is at least the number of places found.
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, each worked out once, however often it is used later."""
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(column)).alias(name))
+    return df
+
+
+def windows(docs: DataFrame, sizes: DataFrame, k: int) -> DataFrame:
+    """(doc_id, m, s, wg): windows of docs (doc_id, text) as arrays of shingles, for items of m shingles.
+
+    sizes has (h, m): which sizes of items hold a shingle. A window of w <= m shingles needs
+    3/7 of (m + w) in common with an item, so it is cut only if it holds as many places with a shingle
+    of any item of that size, and begins at such a place or ends with the text. Of equal windows the
+    first stays. Places are sorted once, and one look ahead tells whether a window holds enough, so the
+    work grows with the text.
+    """
+    text = F.xxhash64("text")  # with doc_id it names a row, so that rows without doc_id do not meet on one key
+    split = docs.select("doc_id", text.alias("t"), F.explode(F.array(_words(F.col("text")))).alias("words"))
+    places = split.select("doc_id", "t", F.posexplode(_grams(F.col("words"), k)).alias("i", "h")).join(F.broadcast(sizes), "h")
+    places = places.groupBy("doc_id", "t", "m").agg(F.collect_set("i").alias("p"))
     places = places.where(7 * F.size("p") >= 3 * (F.col("m") + F.least(F.size("p"), F.col("m"))))
-    near = places.groupBy("doc_id").agg(F.collect_list(F.struct("m", "p")).alias("near")).withColumnRenamed("doc_id", "id")
-    held = docs.join(near, F.col("doc_id").eqNullSafe(F.col("id"))).select("doc_id", "near", F.explode(F.array(_words(F.col("text")))).alias("words"))
-    held = held.select("doc_id", "near", F.explode(F.array(grams)).alias("grams"))
-    held = held.select("doc_id", "grams", F.explode("near").alias("t")).withColumn("t", F.struct(F.least("t.m", F.size("grams")).alias("w"), "t.m", "t.p"))
-    starts = "filter(array_distinct(transform(t.p, i -> greatest(0, least(i, size(grams) - t.w)))), s -> 7 * size(filter(t.p, i -> i >= s AND i < s + t.w)) >= 3 * (t.m + t.w))"
-    cut = held.select("doc_id", "grams", F.col("t.w").alias("w"), F.col("t.m").alias("m"), F.explode(F.expr(starts)).alias("s"))
-    cut = cut.select("doc_id", "s", "m", F.explode(F.array(F.slice("grams", F.col("s") + 1, F.col("w")))).alias("wg"))
-    marked = cut.select("*", F.explode(F.array(fingerprint(F.col("wg")))).alias("wf"))
-    index = items.select("item_id", "m", "g", F.explode(F.array(fingerprint(F.col("g")))).alias("f")).select("item_id", "m", "g", "f", F.posexplode(_blocks(F.col("f"))).alias("block", "bits"))
+    near = places.groupBy("doc_id", "t").agg(F.collect_list(F.struct("m", F.array_sort("p").alias("p"))).alias("near")).withColumnRenamed("doc_id", "id")
+    held = docs.join(near, F.col("doc_id").eqNullSafe(F.col("id")) & (text == F.col("t"))).select("doc_id", "near", F.explode(F.array(_words(F.col("text")))).alias("words"))
+    held = held.select("doc_id", "near", F.explode(F.array(_grams(F.col("words"), k))).alias("grams"))
+    held = held.select("doc_id", "grams", F.inline("near")).withColumn("w", F.least("m", F.size("grams")))
+    held = held.withColumns({"need": F.expr("(3 * (m + w) + 6) div 7").cast("int"), "tail": F.size("grams") - F.col("w")})
+    starts = "concat(filter(p, (s, j) -> s < tail AND get(p, j + need - 1) < s + w), if(get(p, size(p) - need) >= tail, array(tail), array()))"
+    held = _once(held, cut=F.expr(f"array_sort(transform({starts}, s -> struct(xxhash64(slice(grams, s + 1, w)) AS h, s AS s)))"))
+    first = "filter(cut, (x, j) -> j = 0 OR get(cut, j - 1).h <> x.h)"
+    return held.select("doc_id", "m", F.expr(f"inline(transform({first}, x -> struct(x.s AS s, slice(grams, x.s + 1, w) AS wg)))"))
+
+
+def _slice(docs: DataFrame, items: DataFrame, k: int) -> DataFrame:
+    sizes = items.select("m", F.explode(F.array_distinct("g")).alias("h")).distinct()
+    marked = _once(windows(docs, sizes, k), wf=fingerprint(F.col("wg")))
+    index = _once(items, f=fingerprint(F.col("g"))).select("item_id", "n_item", "m", "f", F.posexplode(_blocks(F.col("f"))).alias("block", "bits"))
     looked_up = marked.select("*", F.posexplode(_blocks(F.col("wf"))).alias("block", "bits")).join(F.broadcast(index), ["m", "block", "bits"])
-    compared = looked_up.select("*", F.explode(F.array(F.col("wf").bitwiseXOR(F.col("f")))).alias("differs"))
+    compared = _once(looked_up, differs=F.col("wf").bitwiseXOR(F.col("f")))
     near = compared.where((F.bit_count("differs") <= RADIUS) & (F.col("block") == _first_equal(F.col("differs"))))
-    common = near.select("*", F.explode(F.array(_common(F.col("wg"), F.col("g")))).alias("common")).withColumn("all", F.size("wg") + F.size("g") - F.col("common"))
+    near = near.select("doc_id", "n_item", "s", "wg").join(F.broadcast(items.select("n_item", "item_id", "g")), "n_item")
+    common = _once(near, common=_common(F.col("wg"), F.col("g"))).withColumn("all", F.size("wg") + F.size("g") - F.col("common"))
     found = common.where(THRESHOLD[1] * F.col("common") >= THRESHOLD[0] * F.col("all"))
     return found.select("doc_id", "item_id", F.col("s").cast("long").alias("first_word"), (F.col("common") / F.col("all")).alias("similarity"))
 
@@ -119,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     sizes = items.groupBy("k").agg(F.sum(F.size("words")).alias("shingles")).orderBy("k").collect()  # at most K rows
     parts = []
     for k, shingles in sizes:
-        own = items.where(F.col("k") == k).select("item_id", _grams(F.col("words"), k).alias("g")).withColumn("m", F.size("g"))
+        own = items.where(F.col("k") == k).select("item_id", _grams(F.col("words"), k).alias("g")).withColumns({"m": F.size("g"), "n_item": F.xxhash64("item_id", "g")}).dropDuplicates(["item_id", "n_item"])
         slices = -(-shingles // SLICE_SHINGLES)
         parts += [_slice(docs, own if slices == 1 else own.where(F.pmod(F.xxhash64("item_id", "g"), F.lit(slices)) == j), k) for j in range(slices)]
     if not parts:
