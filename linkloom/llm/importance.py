@@ -2,11 +2,13 @@
 
 Two generative models of hashed n-grams (byte trigrams, words and word pairs, each in BUCKETS
 buckets): one of the labelled target documents, one of all raw text. A document's score is the log of
-the ratio of its likelihoods; Gumbel noise seeded by doc_id makes the top k of the noisy scores a
-sample in proportion to the ratios. k is set so that the labelled targets stay. A sum over a whole
-text lets ordinary words outweigh a few bad ones, so a document must also pass by its worst passage:
-the least sum, over WINDOW words in a row, of log ratios between the labelled classes (how many of
-their documents hold a word), with a floor from both classes.
+the ratio of its likelihoods per n-gram, so that long texts do not weigh more; score / TEMPERATURE is
+the log of its importance weight. Gumbel noise seeded by doc_id is added, and the k documents with the
+highest sums are a sample without replacement in proportion to the weights. k is a parameter, or it
+follows from the labelled documents. A mean over a whole text lets ordinary words outweigh a few bad
+ones, so a document must also pass by its worst passage: the least sum, over WINDOW words in a row, of
+log ratios between the labelled classes (how many of their documents hold a word), with a floor from
+both classes.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._state import table
+from ._state import fresh, table, written
 from ._text import buffers, mix, slices, word_hashes
 
 BUCKETS = 1 << 14
@@ -28,6 +30,10 @@ KINDS = 3
 LABELLED_ROWS = 20_000
 SMOOTHING = 1.0
 SEED = 5
+#: Score that makes a document e times as likely to be drawn.
+TEMPERATURE = 0.02
+#: Bins of a pass of the search for the k-th highest value.
+BINS = 4096
 #: Passages: buckets of folded words, words in a window, documents that the prior counts for.
 PASSAGE_BITS = 20
 WINDOW = 2
@@ -84,24 +90,25 @@ def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
     return np.log(share(target) / share(raw)).astype(np.float32)
 
 
-def with_scores(docs: DataFrame, weights: np.ndarray, passages: np.ndarray | None = None) -> DataFrame:
-    """docs with the column _score, the document's log ratio (0 without n-grams), and _passage if there are ratios for passages.
+def with_scores(docs: DataFrame, weights: np.ndarray, passages: np.ndarray | None = None, names: tuple[str, str] = ("_score", "_passage")) -> DataFrame:
+    """docs with a column for the document's log ratio per n-gram (0 without n-grams), and one for the worst passage if there are ratios for passages.
 
     Both in one pass: a second one would be a second Python worker on each core.
     """
+    names = names if passages is not None else names[:1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in (part for batch in batches for part in slices(batch, "text")):
-            score = np.zeros(len(b))
+            score, grams = np.zeros(len(b)), np.zeros(len(b))
             for bucket, row in _grams(*buffers(b.column("text"))):
                 score += np.bincount(row, weights[bucket], minlength=len(b))
-            new = [pa.array(np.round(score, 6))]
+                grams += np.bincount(row, minlength=len(b))
+            new = [pa.array(np.round(score / np.maximum(grams, 1), 9))]
             if passages is not None:
                 bucket, at = _words(b.column("text"))
                 new.append(pa.array(_worst(passages[bucket], at, len(b))))
             yield pa.RecordBatch.from_arrays([*b.columns, *new], [*b.schema.names, *names])
 
-    names = ["_score"] if passages is None else ["_score", "_passage"]
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, *[T.StructField(n, T.DoubleType()) for n in names]]))
 
 
@@ -179,39 +186,80 @@ def gumbel(doc_id: Column, seed: int = SEED) -> Column:
     return -F.log(-F.log(u))
 
 
-def resample(docs: DataFrame, labels: DataFrame, keep_targets: float = 0.9999, seed: int = SEED, labelled_rows: int = LABELLED_ROWS) -> DataFrame:
-    """docs with _score, _noisy (score plus Gumbel noise), _passage and _kept: whether _noisy is among the top k and no passage is bad.
+def kth_highest(values: DataFrame, k: int) -> float | None:
+    """The k-th highest of one column of doubles (its lowest if it has fewer, None if it has none), without sorting it.
 
-    k is the number of documents that are not below a floor: half way between the noisy score that the
-    share keep_targets of the labelled target documents reach and the best of the other labelled
-    documents below that (no floor if there is none). _passage, the score of the worst passage, has a floor of
-    its own (see passage_floor), for which no labelled document is judged by its own words; without labels of
-    both classes it is 0 and has none. Every row is scored over its whole text. Null or empty text scores 0. Noise depends on doc_id alone, so repeated rows get one verdict; rows with a null doc_id
-    share one noise. Without labelled targets all rows are kept. Other columns pass through; an empty
-    table gives an empty table. A doc_id with several labels is a target if all say so.
+    Each pass counts BINS equal bins between two bounds and goes on inside the bin that holds the
+    k-th; no more than BINS rows come to the driver.
+    """
+    name = values.columns[0]
+    low, high, n = values.agg(F.min(name), F.max(name), F.count(name)).first()
+    if not n:
+        return None
+    left = min(max(k, 1), n)
+    while low < high:
+        step = (high - low) / BINS
+        bin_ = F.least(F.floor((F.col(name) - low) / step), F.lit(BINS - 1)) if step > 0 else (F.col(name) > low).cast("long")
+        seen = values.where(F.col(name).between(low, high)).groupBy(bin_.alias("bin")).agg(F.count(F.lit(1)).alias("n"), F.min(name).alias("low"), F.max(name).alias("high"))
+        for r in sorted(seen.collect(), key=lambda r: -r.bin):
+            if left <= r.n:
+                low, high = r.low, r.high
+                break
+            left -= r.n
+    return low
+
+
+def resample(
+    docs: DataFrame, labels: DataFrame, k: int | None = None, keep_targets: float = 0.9999, seed: int = SEED, labelled_rows: int = LABELLED_ROWS, names: tuple[str, str, str, str] = ("_score", "_noisy", "_passage", "_kept")
+) -> DataFrame:
+    """docs with four columns (names; they replace columns so named): the score, score / TEMPERATURE plus Gumbel noise, the worst
+    passage, and whether the noisy score is among the top k and no passage is bad.
+
+    Without k, it is the number of documents that are not below a floor: half way between the noisy
+    score that the share keep_targets of the labelled target documents reach and the best of the other
+    labelled documents below that (no floor if there is none). Rows that tie with the k-th are all
+    among the top; a k below 1 takes none. The score of the worst passage has a floor of its own (see passage_floor), for which
+    no labelled document is judged by its own words; without labels of both classes it is 0 and has
+    none. Every row is scored over its whole text. Null or empty text scores 0. Noise depends on doc_id
+    alone, so repeated rows get one verdict; rows with a null doc_id share one noise. Without labelled
+    targets all scores are 0. Other columns pass through; an empty table gives an empty table. A doc_id
+    with several labels is a target if all say so, and one with several rows counts by its worst.
     """
     sample = labelled(labels, labelled_rows)
     weights = log_ratios(docs, sample)
-    noisy = F.col("_score") + gumbel(F.col("doc_id"), seed)
     marked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "target")
-    seen = with_scores(marked, weights).select("target", noisy.alias("noisy")).collect()  # at most labelled_rows, but for repeated doc_ids
-    targets, others = (np.array([r.noisy for r in seen if r.target is t]) for t in (True, False))
-    floor = None
-    if len(targets):
-        least = np.quantile(targets, 1 - keep_targets)
-        below = others[others < least]
-        floor = float(least + below.max()) / 2 if len(below) else None
-    ratios, lowest = passage_ratios(marked), None
+
+    def noisy(score: str) -> Column:
+        return F.col(score) / TEMPERATURE + gumbel(F.col("doc_id"), seed)
+
+    def least(scored: DataFrame, value: Column) -> tuple[np.ndarray, np.ndarray]:
+        seen = scored.groupBy("doc_id", "target").agg(F.min(value).alias("v")).toArrow()  # at most labelled_rows
+        target, v = np.array(seen.column("target").to_pylist(), bool), np.array(seen.column("v").to_pylist(), float)
+        return v[target], v[~target]
+
+    ratios, floor, lowest = passage_ratios(marked), None, None
+    if k is None:
+        targets, others = least(with_scores(marked, weights), noisy("_score"))
+        if len(targets):
+            edge = np.quantile(targets, 1 - keep_targets)
+            below = others[others < edge]
+            floor = float(edge + below.max()) / 2 if len(below) else None
+    elif k < 1:
+        floor = np.inf
+    else:
+        floor = kth_highest(written(with_scores(docs.select("doc_id", "text"), weights).select(noisy("_score").alias("v")), "noisy"), k)
     if ratios:
-        worst = with_passages(marked, ratios, labelled_rows=True).select("target", "_passage").collect()  # as many as seen
-        lowest = passage_floor(*(np.array([r._passage for r in worst if r.target is t]) for t in (True, False)))
-    scored = with_scores(docs, weights, ratios[0] if ratios else None).withColumn("_noisy", noisy)
-    scored = scored if ratios else scored.withColumn("_passage", F.lit(0.0))
-    kept = F.lit(True) if floor is None else F.col("_noisy") >= F.lit(floor)
-    return scored.withColumn("_kept", kept if lowest is None else kept & (F.col("_passage") >= F.lit(lowest)))
+        lowest = passage_floor(*least(with_passages(marked, ratios, labelled_rows=True), F.col("_passage")))
+    score, passage, total, kept = fresh(docs, "score", "passage", "noisy", "kept")
+    scored = with_scores(docs, weights, ratios[0] if ratios else None, (score, passage)).withColumn(total, noisy(score))
+    scored = scored if ratios else scored.withColumn(passage, F.lit(0.0))
+    top = F.lit(True) if floor is None else F.col(total) >= F.lit(float(floor))
+    scored = scored.withColumn(kept, top if lowest is None else top & (F.col(passage) >= F.lit(lowest)))
+    own = [c for c in docs.columns if c.lower() not in {n.lower() for n in names}]
+    return scored.select(*[F.col(f"`{c}`") for c in own], *[F.col(c).alias(n) for c, n in zip((score, total, passage, kept), names, strict=True)])
 
 
 def op5_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """doc_id, log_ratio, noisy, kept of every document."""
+    """doc_id, log_ratio (per n-gram), noisy, kept of every document."""
     out = resample(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
     return out.select("doc_id", F.col("_score").alias("log_ratio"), F.col("_noisy").alias("noisy"), F.col("_kept").alias("kept"))
