@@ -1,9 +1,9 @@
 """Operator 6, secret scans: DataFrame and SQL functions only.
 
-Candidates are long runs of key characters with a digit, with the prefix of a known kind of key, or
-behind an assignment or a word that names secrets, and values of any length and characters that are
-assigned to such a name. A random forest judges each by length,
-character transitions, dictionary coverage, path and neighbouring words, and takes out false
+Candidates are signed web tokens, passwords in addresses, long runs of key characters with a digit,
+with the prefix of a known kind of key, or behind an assignment or a word that names secrets, and
+values of any length and characters that are assigned to such a name. A random forest judges each by
+length, character transitions, dictionary coverage, path and neighbouring words, and takes out false
 positives. The forest in secret_forest.json was trained by secret_train.py from labelled findings; it
 runs as nested CASE expressions, so scoring stays in the generated code of the scan.
 """
@@ -21,12 +21,15 @@ from ._state import table
 
 NAMES = "(?i:secret|token|passw|passphrase|pwd|key|auth|bearer|credential|private)"
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_-])(?:(?:(?=[A-Za-z+/_-]*+[0-9])|(?=[A-Za-z+/_-]{16})(?!//)(?:(?<=[=:]\s{0,2}[\"']?)|(?<=" + NAMES + r"[^\n]{0,40})))[A-Za-z0-9+/_-]{16,}={0,2}"
+    r"(?<![A-Za-z0-9+/_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"
+    r"|(?<=[a-z]://[^\s/:@]{1,64}:)[^\s/@\"'`<>]+(?=@)"
+    r"|(?<![A-Za-z0-9+/_-])(?:(?:(?=[A-Za-z+/_-]*+[0-9])|(?=[A-Za-z+/_-]{16})(?!//)(?:(?<=[=:]\s{0,2}[\"']?)|(?<=" + NAMES + r"[^\n]{0,40})))[A-Za-z0-9+/_-]{16,}={0,2}"
     r"|(?:AKIA|ASIA|gh[pousr]_|sk_(?:live|test)_|xox[a-z]-)[A-Za-z0-9+/_-]{12,}={0,2}"
     r"|(?:(?<=[=:]\s{0,2}[\"']?)(?<=" + NAMES + r"[A-Za-z0-9_ -]{0,24}[\"']?\s{0,2}:?[=:]\s{0,2}[\"']?)|(?<=(?i:passw(?:or)?d|passphrase|pwd|bearer) (?:is )?[\"']?))"
     r"(?!(?i:bearer|basic)\b)(?![=:]|//)[^\s\"'`<>,;]*[^\s\"'`<>,;.)])"
 )
 BEFORE, AFTER = 48, 24
+STEP = 32
 #: Frequent words inside names, paths and sample values; longer ones first.
 DICTIONARY = "placeholder password example version default article content product service request account session profile picture sample secret public system update manager config report upload search change string number system image index value table class model theme style asset token order event group query state world hello media video local admin login build cache date page file name user data item list code test main text http html json type info page blog post shop view and for the net www com org key api img css app".split()
 FEATURES = {
@@ -47,18 +50,53 @@ FEATURES = {
     "equals": "CAST(before RLIKE '=\\\\s{0,2}[\"\\']?$' AS DOUBLE)",
     "code": "CAST(c RLIKE '[.({$\\\\[][A-Za-z]|[)}]$' AS DOUBLE)",
     "state_word": "CAST(c RLIKE '(?i)^(none|null|nil|true|false|required|optional|string|hidden|missing|changed|expired|invalid|empty|unset|below|see|is|reset|redacted|[*x.-]+)$' AS DOUBLE)",
+    "in_address": "CAST(before RLIKE '[a-z]://[^\\\\s/:@]*:$' AND after LIKE '@%' AS DOUBLE)",
+    "signed": "CAST(c RLIKE '^eyJ[^.]+[.][^.]+[.]' AS DOUBLE)",
     "sample_word": "CAST(concat(right(before, 16), c) RLIKE '(?i)example|sample|dummy|placeholder|your|xxxx|test' AS DOUBLE)",
 }
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with further columns, each worked out once, however often it is used later."""
+    for name, column in columns.items():
+        df = df.select("*", F.explode(F.array(column)).alias(name))
+    return df
+
+
+def _sums(values: str, at: Column, n: int | Column) -> Column:
+    return F.aggregate(F.slice(values, at + 1, F.lit(n) if isinstance(n, int) else n), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
-    """(doc_id, start, c, before, after): each candidate with its place (code points) and neighbouring text."""
+    """(doc_id, start, c, before, after): each candidate with its place (code points) and neighbouring text.
+
+    A text's matches are cut out in one pass and exploded with no more than their neighbourhood. Places
+    are running sums over blocks of blocks of STEP matches, so time and memory grow with the text, not
+    with its square.
+    """
     rows = docs.select("doc_id", "text").where(F.col("text").rlike(CANDIDATE))
-    cut = rows.select("doc_id", F.explode(F.array(F.split("text", CANDIDATE, -1))).alias("between"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"))
-    each = cut.select("doc_id", "between", "found", F.posexplode("found").alias("i", "c"))
-    length = lambda part, n: F.aggregate(F.slice(part, F.lit(1), n), F.lit(0).cast("long"), lambda a, x: a + F.char_length(x))
-    start = length(F.col("between"), F.col("i") + 1) + length(F.col("found"), F.col("i"))
-    return each.select("doc_id", start.alias("start"), "c", F.expr(f"right(element_at(between, i + 1), {BEFORE})").alias("before"), F.expr(f"left(element_at(between, i + 2), {AFTER})").alias("after"))
+    cut = _once(rows, between=F.split("text", CANDIDATE, -1), found=F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0))).drop("text")
+    lengths = F.transform("found", lambda c, i: (F.char_length(F.get("between", i)) + F.char_length(c)).cast("long"))
+    cut = _once(cut, n0=lengths)
+    blocks = lambda values: F.transform(F.sequence(F.lit(0), F.size(values) - 1, F.lit(STEP)), lambda at: _sums(values, at, STEP))
+    cut = _once(cut, n1=blocks("n0"))
+    cut = _once(cut, n2=blocks("n1"))
+    whole = lambda i, step: F.floor(i / step).cast("int")
+    cut = _once(cut, s2=F.transform("n2", lambda _, i: _sums("n2", F.lit(0), i)))
+    cut = _once(cut, s1=F.transform("n1", lambda _, i: F.get("s2", whole(i, STEP)) + _sums("n1", whole(i, STEP) * STEP, F.pmod(i, F.lit(STEP)))))
+
+    # Text and matches in turn, each with no more of it than a neighbourhood takes; a match has a character at least.
+    in_turn = lambda end, n: F.flatten(F.transform("between", lambda b, i: F.array(end(b, F.lit(n)), F.coalesce(end(F.get("found", i), F.lit(n)), F.lit("")))))
+    cut = _once(cut, tails=in_turn(F.right, BEFORE), heads=in_turn(F.left, AFTER))
+
+    def each(c: Column, i: Column) -> Column:
+        start = F.get("s1", whole(i, STEP)) + _sums("n0", whole(i, STEP) * STEP, F.pmod(i, F.lit(STEP))) + F.char_length(F.get("between", i))
+        first = F.greatest(F.lit(1), 2 * i + 1 - 2 * BEFORE)
+        before = F.right(F.array_join(F.slice("tails", first, 2 * i + 2 - first), ""), F.lit(BEFORE))
+        after = F.left(F.array_join(F.slice("heads", 2 * i + 3, F.lit(2 * AFTER)), ""), F.lit(AFTER))
+        return F.struct(start.alias("start"), c.alias("c"), before.alias("before"), after.alias("after"))
+
+    return cut.select("doc_id", F.inline(F.transform("found", each)))
 
 
 def with_features(found: DataFrame) -> DataFrame:
@@ -80,7 +118,7 @@ def scan(docs: DataFrame, forest: list | None = None, threshold: float = 0.5) ->
     """(doc_id, start, n_chars, secret, before, score, is_secret) for each candidate in docs (doc_id, text).
 
     score is the mean over the trees, is_secret whether it reaches threshold. Null and empty texts
-    have no candidates; whole texts are read. Repeated rows give repeated findings; a null doc_id is
+    have no candidates; whole texts of any length are read. Repeated rows give repeated findings; a null doc_id is
     carried along; further columns are not read; an empty table gives an empty result.
     """
     trees = forest or load_forest()

@@ -26,6 +26,8 @@ def finding(r: random.Random) -> tuple[str, int]:
     rnd = lambda chars, lo, hi=None: "".join(r.choice(chars) for _ in range(r.randint(lo, hi or lo)))
     words = lambda n: " ".join(r.choice(["the", "in", "thation", "of", "ered", "con", "und", "que", "onthe", "mail6.example.com", "Asanstestion"]) for _ in range(n))
     lead, tail = words(r.randint(0, 5)) + " ", " " + words(r.randint(0, 4))
+    if r.random() < 0.08:
+        return addressed(r, rnd, lead, tail)
     if r.random() < 0.4:
         return unlike_keys(r, rnd, lead, tail)
     if r.random() < 0.5:
@@ -56,6 +58,15 @@ def finding(r: random.Random) -> tuple[str, int]:
     return f"{lead}{r.choice(['token', 'key', 'password'])}: {r.choice('x0a')*r.randint(16, 32)}{r.randint(0, 9)}{tail}", 0
 
 
+def addressed(r: random.Random, rnd, lead: str, tail: str) -> tuple[str, int]:
+    """A signed web token, or an address with a password or a sample of one."""
+    if r.random() < 0.4:
+        token = f"eyJ{rnd(B62, 12, 40)}.eyJ{rnd(B62 + '_-', 20, 120)}.{rnd(B62 + '_-', 20, 60)}"
+        return f"{lead}{r.choice(['Authorization: Bearer ', 'token = ', '', 'jwt '])}{token}{tail}", 1
+    value, secret = r.choice([(rnd(B62, 8, 24), 1), (r.choice(PLAIN) + rnd(string.digits, 1, 4), 1), (rnd(B62 + "!#%&*", 8, 16), 1), (r.choice(["password", "your_password", "example", "xxxx", "changeme", "<password>"[1:-1]]), 0)])
+    return f"{lead}{r.choice(['postgres', 'https', 'mysql', 'ftp', 'amqp', 'redis'])}://{r.choice(['user', 'admin', 'app', 'root'])}:{value}@{r.choice(['db', 'host', 'files'])}.example.com/{r.choice(['', 'data', 'x?y=1'])}{tail}", secret
+
+
 def unlike_keys(r: random.Random, rnd, lead: str, tail: str) -> tuple[str, int]:
     """A finding that is short, or of letters only: passwords and passphrases; states, prose and code behind the names of secrets."""
     name = r.choice(["token", "api_key", "secret", "password", "passwd", "db_password", "access_key", "auth_token", "client_secret", "passphrase"])
