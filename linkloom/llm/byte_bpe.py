@@ -4,7 +4,7 @@ For every prefix of a piece there is exactly one token that the encoding of that
 PrefixEncoder stores it for each prefix. A token that ends at a place is that token if it starts at
 the end of a stored prefix and the pair (last token there, token) is one that merging would leave
 alone; the pair check walks the merge trees of both. Appending bytes goes on from the stored
-prefixes, and after an edit only the prefixes behind it are filled again.
+prefixes, and after an edit prefixes are filled again only until they agree with the old ones.
 """
 
 from __future__ import annotations
@@ -91,9 +91,9 @@ class Vocabulary:
 class PrefixEncoder:
     """Encoding of one byte string that can grow and be edited.
 
-    last[k] is the last token of the encoding of data[:k], or -1 where no search has come by yet.
-    The search goes on from the longest stored prefix, longer tokens first, and ends as soon as the
-    whole string has its last token: as that is unique, no other way can lead to another one.
+    last[k] is the last token of the encoding of data[:k], for every k (-1 at 0). Tokens that end at k
+    are tried from the longest on; the first whose beginning ends in a token that it is stable behind
+    is the only one.
     """
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
@@ -103,37 +103,50 @@ class PrefixEncoder:
     def append(self, more: bytes) -> None:
         self.replace(len(self.data), len(self.data), more)
 
-    def replace(self, start: int, end: int, new: bytes) -> None:
-        """data[start:end] = new; prefixes up to start keep their last tokens."""
+    def replace(self, start: int, end: int, new: bytes) -> int:
+        """data[start:end] = new; the number of prefixes that were worked out anew.
+
+        Prefixes up to start keep their last tokens. Behind the edit the work ends as soon as as many
+        prefixes in a row as the longest token has bytes agree with the old ones: the next tokens then
+        depend on nothing else, so the rest stays as well.
+        """
+        old, shift = self.last, len(new) - (end - start)
         self.data = data = self.data[:start] + new + self.data[end:]
-        n, last, v = len(data), self.last, self.vocabulary
-        del last[start + 1 :]
-        last += [-1] * (n - start)
-        root, known, stable = v.trie, v.known, v.stable
-        waiting = [k for k in range(start + 1) if not k or last[k] >= 0]
-        tried: list[tuple[int, int, int]] = []  # (from, to, token), the longest of the latest place on top
-        while last[n] < 0 < n:
-            if tried:
-                at, k, t = tried.pop()
-                if last[k] >= 0:
-                    continue
-                if at:
-                    ok = known.get(last[at] << 32 | t)
-                    if not (stable(last[at], t) if ok is None else ok):
-                        continue
-                last[k] = t
-                if k == n:
-                    break
-                at = k
-            else:
-                at = waiting.pop()
+        n, v = len(data), self.vocabulary
+        root, known, stable, longest = v.trie, v.known, v.stable, v.longest
+        self.last = last = old[: start + 1]
+        ending: dict[int, list[tuple[int, int]]] = {}
+        same, behind = 0, start + len(new)
+
+        def walk(at: int) -> None:
             node = root
             for k in range(at, n):
                 if (hit := node.get(data[k])) is None:
                     break
                 t, node = hit
-                if t >= 0 > last[k + 1]:
-                    tried.append((at, k + 1, t))
+                if t >= 0 and k >= start:
+                    if (held := ending.get(k + 1)) is None:
+                        ending[k + 1] = [(at, t)]
+                    else:
+                        held.append((at, t))
+
+        for at in range(max(0, start - longest + 1), start):
+            walk(at)
+        for k in range(start, n):
+            walk(k)
+            for at, t in ending.pop(k + 1):
+                if at:
+                    ok = known.get(last[at] << 32 | t)
+                    if not (stable(last[at], t) if ok is None else ok):
+                        continue
+                last.append(t)
+                break
+            if k >= behind:
+                same = same + 1 if old[k + 1 - shift] == last[k + 1] else 0
+                if same >= longest:
+                    last += old[k + 2 - shift :]
+                    return k + 1 - start
+        return n - start
 
     def ids(self) -> list[int]:
         out, at, tokens = [], len(self.data), self.vocabulary.tokens
