@@ -1,9 +1,9 @@
 """Operator 9, line dedup: DataFrame functions only.
 
-Lines are exploded as hashes of their normalised form, documents are counted per hash, and lines
-over the threshold are dropped everywhere but in the holder with the largest doc_id. Text never
-travels with the exploded rows: only (doc_id, two 64-bit hashes) do, pre-aggregated before the
-shuffle, so a line that a third of all documents hold costs one row per task.
+Lines are exploded with their position, normalised and hashed, distinct documents are counted per
+hash, lines over the threshold are dropped everywhere but in the holder with the largest doc_id, and
+a text is put together again by position. Text never travels with the exploded rows: only doc_id, a
+hash of the text, the position and two 64-bit hashes of the line do.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._state import table, written
+from ._state import fresh, table, written
 
 SPACE = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -23,57 +23,48 @@ def _folded(stripped: Column) -> Column:
     return F.when(ascii_only, F.lower(stripped)).otherwise(F.translate(stripped, UPPER, LOWER))
 
 
-def _stripped(line: Column) -> Column:
-    return F.btrim(line, F.lit(SPACE))
-
-
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _hashes(key: Column) -> tuple[Column, Column]:
-    return F.xxhash64(key), F.xxhash64(F.lit("second"), key)
-
+def line_hashes(docs: DataFrame, min_chars: int = 20) -> DataFrame:
+    """(doc_id, t, pos, h1, h2): place and hashes of each line key of at least min_chars code points; t is the hash of the text."""
+    each = docs.select("doc_id", F.xxhash64("text").alias("t"), F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    long_enough = each.select("doc_id", "t", "pos", F.btrim("line", F.lit(SPACE)).alias("line")).where(F.char_length("line") >= min_chars)
+    key = _folded(F.col("line"))
+    return long_enough.select("doc_id", "t", "pos", F.xxhash64(key).alias("h1"), F.xxhash64(F.lit("second"), key).alias("h2"))
 
-def repeated_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """(h1, h2, keeper) of each line key that at least min_docs documents hold; keeper is the largest doc_id."""
-    h1, h2 = _hashes(F.col("_key"))
-    return _line_keys(docs, min_chars).select("doc_id", h1.alias("h1"), h2.alias("h2")).groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("_n"), F.max("doc_id").alias("keeper")).where(F.col("_n") >= min_docs).select("h1", "h2", "keeper")
 
+def repeated_lines(hashes: DataFrame, min_docs: int = 3) -> DataFrame:
+    """(h1, h2, keeper) of each line that at least min_docs documents hold; keeper is the largest doc_id.
 
-def _line_keys(docs: DataFrame, min_chars: int) -> DataFrame:
-    stripped = F.transform(_lines(F.col("text")), _stripped)
-    long_enough = F.filter(stripped, lambda s: F.char_length(s) >= min_chars)
-    return docs.select("doc_id", F.explode(F.array_distinct(F.transform(long_enough, _folded))).alias("_key"))
+    Distinct documents are counted in two steps, by (line, document) and then by line, each of them
+    aggregated before its shuffle, so a line that a third of all documents hold makes no hot task.
+    """
+    documents = F.count_distinct("doc_id") + F.max(F.col("doc_id").isNull().cast("int"))
+    return hashes.groupBy("h1", "h2").agg(documents.alias("n"), F.max("doc_id").alias("keeper")).where(F.col("n") >= min_docs).select("h1", "h2", "keeper")
 
 
-def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """docs with repeated lines taken out of text, and the columns _n_lines and _n_dropped.
+def dedup_lines(docs: DataFrame, min_chars: int = 20, min_docs: int = 3, n_lines: str = "_n_lines", n_dropped: str = "_n_dropped") -> DataFrame:
+    """docs with repeated lines taken out of text, and the columns n_lines and n_dropped (these replace columns of their name).
 
-    Each row is one document, whether or not another row has its doc_id. Null or empty text is one
-    empty line and stays empty text. A null doc_id counts as smaller than any other, so such a
-    document loses a repeated line if any holder has a doc_id; if none has, all keep it. Repeated
-    rows with the largest doc_id all keep the line. Further columns pass through unread; an empty
-    table gives an empty table.
+    Rows with one doc_id are one document, and so are all rows with a null doc_id. Null or empty text
+    is one empty line and becomes empty text. A null doc_id counts as smaller than any other, so such
+    a document loses a repeated line that a document with a doc_id holds. Repeated rows lose the same
+    lines. Further columns pass through unread, whatever their names; an empty table gives an empty table.
     """
     narrow = docs.select("doc_id", "text")
-    h1, h2 = _hashes(F.col("_key"))
-    held = _line_keys(narrow, min_chars).select("doc_id", h1.alias("h1"), h2.alias("h2"))
+    hashes = written(line_hashes(narrow, min_chars), "line-hashes")
     # Written first: a join of two plain exchanges lets adaptive execution split the hashes of very common lines.
-    loses = held.join(written(repeated_lines(narrow, min_chars, min_docs), "repeated-lines"), ["h1", "h2"]).where(F.coalesce(F.col("doc_id") < F.col("keeper"), F.col("keeper").isNotNull()))
-    drops = loses.groupBy("doc_id").agg(F.collect_set("h1").alias("_drops")).withColumnRenamed("doc_id", "_loser")
-    # Dropped hashes in about sqrt(n) buckets: looking up a line stays cheap in a document of very many lines.
-    n = F.greatest(F.lit(1), F.floor(F.sqrt(F.size("_drops")))).cast("int")
-    drops = drops.withColumn("_b", n).withColumn("_buckets", F.transform(F.sequence(F.lit(0), F.col("_b") - 1), lambda b: F.filter(F.col("_drops"), lambda h: F.pmod(h, F.col("_b")) == b))).drop("_drops")
-
-    def stays(line: Column) -> Column:
-        h = F.xxhash64(_folded(_stripped(line)))
-        return ~F.array_contains(F.element_at(F.col("_buckets"), (F.pmod(h, F.col("_b")) + 1).cast("int")), h)
-
-    lines = docs.join(drops, F.col("doc_id").eqNullSafe(F.col("_loser")), "left").withColumn("_lines", _lines(F.col("text")))
-    kept = F.when(F.col("_loser").isNull() & F.col("_b").isNull(), F.col("_lines")).otherwise(F.filter(F.col("_lines"), lambda x: (F.char_length(_stripped(x)) < min_chars) | stays(x)))
-    out = lines.withColumn("_kept", kept).withColumn("_n_lines", F.size("_lines").cast("long")).withColumn("_n_dropped", (F.size("_lines") - F.size("_kept")).cast("long"))
-    return out.withColumn("text", F.array_join("_kept", "\n")).drop("_loser", "_b", "_buckets", "_lines", "_kept")
+    many = written(repeated_lines(hashes, min_docs), "repeated-lines")
+    loses = hashes.join(many, ["h1", "h2"]).where(F.coalesce(F.col("doc_id") < F.col("keeper"), F.col("keeper").isNotNull()))
+    owner, whole, gone, at = fresh(docs, "owner", "whole", "gone", "lines")
+    drops = loses.groupBy(F.col("doc_id").alias(owner), F.col("t").alias(whole)).agg(F.collect_set("pos").alias(gone))
+    out = docs.join(drops, F.col("doc_id").eqNullSafe(F.col(owner)) & (F.xxhash64("text") == F.col(whole)), "left").withColumn(at, _lines(F.col("text")))
+    stay = F.transform(F.array_except(F.sequence(F.lit(0), F.size(at) - 1), F.col(gone)), lambda i: F.get(F.col(at), i))
+    text = F.when(F.col(gone).isNull(), F.coalesce(F.col("text"), F.lit(""))).otherwise(F.array_join(stay, "\n"))
+    out = out.withColumn(n_lines, F.size(at).cast("long")).withColumn(n_dropped, F.when(F.col(gone).isNull(), 0).otherwise(F.size(gone)).cast("long"))
+    return out.withColumn("text", text).drop(owner, whole, gone, at)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,9 +84,9 @@ keyed AS (
   FROM lines),
 many AS (
   SELECT k, max(doc_id) AS keeper FROM keyed WHERE length(k) >= 20
-  GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
+  GROUP BY k HAVING count(DISTINCT doc_id) + max((doc_id IS NULL)::INT) >= 3),
 marked AS (
-  SELECT keyed.*, many.k IS NOT NULL AND doc_id < keeper AS gone FROM keyed LEFT JOIN many ON keyed.k = many.k)
+  SELECT keyed.*, many.k IS NOT NULL AND coalesce(doc_id < keeper, keeper IS NOT NULL) AS gone FROM keyed LEFT JOIN many ON keyed.k = many.k)
 SELECT doc_id, count(*) AS n_lines, count_if(gone)::BIGINT AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM marked GROUP BY doc_id
