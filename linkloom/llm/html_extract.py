@@ -23,8 +23,7 @@ from ._state import table
 
 PATHS, WORDS, DIM, HIDDEN = 512, 1024, 16, 16
 FIGURES = 6
-#: Words of a block that the labeller reads, from its start; the text itself is never cut.
-WORDS_READ = 16
+GATHERED = 1 << 19  # embedded words at once
 CELLS = 40_000  # blocks with padding in one pass of the network
 
 BLOCK_TAGS = frozenset("address article aside blockquote body dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul head title caption optgroup option select button".split())
@@ -33,11 +32,13 @@ HIDDEN_TAGS = frozenset("head title template noscript iframe object svg math can
 #: Opening one of the second closes an open one of the first kind, up to the nearest of the third.
 CLOSES = {"p": BLOCK_TAGS - {"html", "body"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "tbody", "tfoot"}, "td": {"td", "th", "tr", "tbody", "tfoot"}, "th": {"td", "th", "tr", "tbody", "tfoot"}, "option": {"option", "optgroup"}}
 SCOPES = {"p": frozenset("article aside blockquote body div figure footer form header li main nav section td".split()), "li": frozenset(("ul", "ol", "menu")), "dt": frozenset(("dl",)), "dd": frozenset(("dl",)), "tr": frozenset(("table",)), "td": frozenset(("table",)), "th": frozenset(("table",)), "option": frozenset(("select",))}
+#: Attributes up to the end of a tag. A quote opens a value only behind =, anywhere else it is a character like others.
+ATTRIBUTES = r"""(?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z)|[^\s>]*+))*+"""
 TOKEN = re.compile(
-    r"""<!--.*?(?:-->|\Z)|<(script|style|textarea)\b[^>]*(?:>.*?(?:</\1[^>]*(?:>|\Z)|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*(?:"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
+    rf"""<!--.*?(?:-->|\Z)|<(script|style|textarea)(?=[\s/>]|\Z){ATTRIBUTES}(?:>.*?(?:</\1(?=[\s/>]|\Z)[^>]*(?:>|\Z)|\Z)|\Z)|<(/?)([a-zA-Z][^\s/>]*)({ATTRIBUTES})(?:>|\Z)|<[!?/][^>]*(?:>|\Z)""",
     re.S | re.I,
 )
-NAMES = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+NAMES = re.compile(r"""(?<![^\s"'/])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PIECES = re.compile(r"[a-z]+")
 SPACES = re.compile(r"\s+")
 
@@ -141,16 +142,23 @@ def features(page: list[tuple[tuple, str, int]]) -> tuple[list[tuple[int, ...]],
     n = max(1, len(page))
     for j, (path, text, linked) in enumerate(page):
         paths.append(_path_slots(path))
-        words.append([_slot(w, WORDS) for w in text[:400].lower().split(" ", WORDS_READ)[:WORDS_READ]])
+        words.append([_slot(w, WORDS) for w in text.lower().split(" ")])
         figures.append([min(1.0, len(text) / 400), min(1.0, len(text) / 60), min(1.0, linked / len(text)), j / n, float(text[-1] in ".!?…"), min(1.0, n / 50)])
     return paths, words, figures
 
 
 def _means(slots: list, embedding: np.ndarray) -> np.ndarray:
+    """Mean vector of each row of slots (none is empty), gathered GATHERED slots at a time."""
     sizes = np.array([len(s) for s in slots])
     flat = np.fromiter((x for s in slots for x in s), np.int64, sizes.sum())
-    starts = np.concatenate([[0], np.cumsum(sizes)[:-1]])
-    return np.add.reduceat(embedding[flat], starts, axis=0) / sizes[:, None]
+    ends = np.cumsum(sizes)
+    out = np.zeros((len(slots), embedding.shape[1]), embedding.dtype)
+    for lo in range(0, len(flat), GATHERED):
+        hi = min(lo + GATHERED, len(flat))
+        first, last = np.searchsorted(ends, [lo, hi - 1], "right")
+        starts = np.concatenate([[0], ends[first:last] - lo])
+        out[first : last + 1] += np.add.reduceat(embedding[flat[lo:hi]], starts, axis=0)
+    return out / sizes[:, None]
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -216,7 +224,9 @@ def extract_pages(pages: DataFrame, model: dict[str, np.ndarray] | None = None)
 
     Null or empty html, and pages without a main block, have empty text. Rows are read one by one:
     repeated rows and null or repeated ids make no difference; further columns are not read; an empty
-    table gives an empty one. Pages of any length are read whole, in batches of up to 4 MB of html.
+    table gives an empty one. Pages of any length are read whole, every word of every block included,
+    in batches of up to 4 MB of html. A value with an opening quote but no closing one, and a tag
+    without its end, reach to the end of the page.
     """
     weights = model or load_model()
 

@@ -25,6 +25,9 @@ MAIN = [("article", ""), ("article", ""), ("article", ""), ("main", ""), ("div",
 HEAD = [("header", ""), ("div", 'id="header"'), ("div", 'class="masthead"'), ("header", 'class="site-header"'), ("div", 'class="top-bar"'), ("div", 'class="header"')]
 FOOT = [("footer", ""), ("div", 'id="footer"'), ("div", 'class="footer"'), ("footer", 'class="site-footer"'), ("div", 'class="copyright"')]
 
+#: Tags that tell what stands in them without a class.
+MEANING = frozenset(("nav", "aside", "article", "main", "header", "footer"))
+
 
 class Page:
     def __init__(self, rng: random.Random):
@@ -44,15 +47,29 @@ class Page:
 
     def box(self, kinds: list, fill, inside: bool = False) -> None:
         tag, attributes = self.r.choice(kinds)
+        if tag in MEANING and self.r.random() < 0.25:  # names that say nothing
+            attributes = f'class="{"".join(self.r.choices(SYLLABLES, k=2))}"'
         if not inside and self.r.random() < 0.3:
             self.out.append("<div>")
         self.out.append(f"<{tag} {attributes}>".replace(" >", ">"))
         fill(tag)
         self.out.append(f"</{tag}>")
 
+    def link_text(self) -> str:
+        r, u = self.r, self.r.random()
+        if u < 0.3:
+            return r.choice(UI)
+        if u < 0.65:  # plain words, in no form of a sentence
+            return " ".join("".join(r.choices(SYLLABLES, k=r.randint(1, 3))) + r.choice(["", "", "", ","]) for _ in range(r.randint(1, 2)))
+        return self.sentence(1, 3)
+
     def menu(self, _: str) -> None:
-        for _ in range(self.r.randint(2, 9)):
-            self.block("li", f"<a href='/x'>{self.r.choice(UI) if self.r.random() < 0.4 else self.sentence(1, 3)}</a>", False)
+        r = self.r
+        wrap, item = r.choice([("", "li"), ("ul", "li"), ("ul", "li"), ("ol", "li"), ("div", "div"), ("", "div"), ("table", "td"), ("dl", "dd"), ("", "p")])
+        self.out.append(f"<{wrap}>" if wrap else "")
+        for _ in range(r.randint(2, 9)):
+            self.block(item, f"<a href='/x'>{self.link_text()}</a>" if r.random() < 0.95 else self.link_text(), False)
+        self.out.append(f"</{wrap}>" if wrap else "")
 
     def noise(self, tag: str) -> None:
         r = self.r
@@ -64,7 +81,11 @@ class Page:
                 if tag == "p":
                     return
             else:
-                self.block(r.choice(["p", "p", "div", "li", "h3"]), text if r.random() < 0.8 else f"<a href='/z'>{text}</a>", False)
+                kind = r.choice(["p", "p", "div", "li", "h3", "h1", "blockquote"])
+                wrap = r.choice(["ul", "ol"]) if kind == "li" and r.random() < 0.7 else ""
+                self.out.append(f"<{wrap}>" if wrap else "")
+                self.block(kind, text if r.random() < 0.8 else f"<a href='/z'>{text}</a>", False)
+                self.out.append(f"</{wrap}>" if wrap else "")
 
     def form(self, _: str) -> None:
         self.out.append("<form>")
@@ -176,7 +197,8 @@ def _back(dout, x, kept, w):
     return dw, db, dx
 
 
-def train(pages: int = 4000, epochs: int = 6, seed: int = 10, batch: int = 50) -> dict[str, np.ndarray]:
+def train(pages: int = 8000, epochs: int = 6, blind: float = 0.4, seed: int = 10, batch: int = 50) -> dict[str, np.ndarray]:
+    """blind: share of the pages that show no words in a pass, so that the labels do not hang on the generator's."""
     rng = np.random.default_rng(seed)
     d = 2 * DIM + FIGURES
     m = {"path": rng.normal(0, 0.3, (PATHS, DIM)), "word": rng.normal(0, 0.1, (WORDS, DIM)), "v": rng.normal(0, 0.2, 2 * HIDDEN), "v0": np.zeros(())}
@@ -194,6 +216,8 @@ def train(pages: int = 4000, epochs: int = 6, seed: int = 10, batch: int = 50) -
             for c, ((p, truth), (a, b, g)) in enumerate(zip(some, f, strict=True)):
                 x[: len(p), c] = np.concatenate([_means(a, m["path"]), _means(b, m["word"]), np.array(g)], axis=1)
                 y[: len(p), c], mask[: len(p), c] = truth, True
+            sees = rng.random(len(some)) >= blind
+            x[:, ~sees, DIM : 2 * DIM] = 0
             hf, kf = _steps(x, mask, m["wf"], m["bf"])
             hb, kb = _steps(x[::-1], mask[::-1], m["wb"], m["bb"])
             both = np.concatenate([hf, hb[::-1]], axis=2)
@@ -209,7 +233,8 @@ def train(pages: int = 4000, epochs: int = 6, seed: int = 10, batch: int = 50) -
             for c, (a, b, _) in enumerate(f):
                 for t, (pa_, wo) in enumerate(zip(a, b, strict=True)):
                     np.add.at(grad["path"], list(pa_), dx[t, c, :DIM] / len(pa_))
-                    np.add.at(grad["word"], wo, dx[t, c, DIM : 2 * DIM] / len(wo))
+                    if sees[c]:
+                        np.add.at(grad["word"], wo, dx[t, c, DIM : 2 * DIM] / len(wo))
             step += 1
             rate = 0.01 * (0.5 ** (epoch / 2))
             for k in m:
