@@ -33,7 +33,7 @@ from ._state import table
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 800_000
 STRETCH = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 #: Whole numbers below this are exact as 32-bit floats.
 EXACT = 1 << 24
@@ -120,20 +120,42 @@ class Lexicon:
 
 
 class Counts(dict):
-    """Stretch without its first space mark -> where a score ahead of it makes a difference, and (pieces, score behind it) between; fills itself.
+    """Stretch without its first space mark -> where a score ahead of it makes a difference, and (pieces, distance behind it) between; fills itself.
 
     A score ahead matters by its distance d from the grid: a first piece of score s gets d + s rounded
-    to the grid, in steps as d grows.
+    to the grid, in steps as d grows. Entries live for two generations, so frequent ones stay.
     """
 
     def __init__(self, lexicon: Lexicon):
         super().__init__()
-        self.lexicon, self.half = lexicon, lexicon.grid // 2
+        self.lexicon, self.half, self.bits = lexicon, lexicon.grid // 2, max(lexicon.grid.bit_length() - 1, 0)
         self.mark = lexicon.scores.get(MARK, 0)
+        self.old: dict[str, tuple] = {}
         self.steps: dict[int, list[int]] = {}
         self.off: dict[int, int] = {}  # at most 2 * REBASE + 1 entries
+        self.inner = ahocorasick.Automaton()  # pieces without a mark
+        self.plain: dict[str, tuple[int, int]] = {}  # what follows a line end
+        self.ends_lines = not any("\n" in p for p in lexicon.scores) and lexicon.byte_fallback
+        self.firsts: dict[str, tuple] = {"": ((), ())}  # beginnings of pieces with one mark -> steps, and (end, score) of the pieces among them
+        if not self.half:
+            return
+        for piece, score in lexicon.scores.items():
+            if MARK not in piece:
+                self.inner.add_word(piece, (len(piece), score))
+        self.inner.make_automaton()
+        self.singles = {p for p in lexicon.scores if len(p) == 1}
+        begun = sorted((p[1:], s) for p, s in lexicon.scores.items() if p[0] == MARK and len(p) > 1 and MARK not in p[1:])
+        own = dict(begun)
+        for piece, _ in begun:
+            for n in range(1, len(piece) + 1):
+                if (head := piece[:n]) not in self.firsts:
+                    ends = self.firsts[head[:-1]][1] + (((n + 1, own[head]),) if head in own else ())
+                    self.firsts[head] = tuple(sorted({d for _, s in ends for d in self._steps(s)})), ends
 
     def off_grid(self, score: int) -> int:
+        """Distance from the grid of a score, or of 0 if it will be taken off."""
+        if not -REBASE <= score <= REBASE:
+            return 0
         if (d := self.off.get(score)) is None:
             d = self.off[score] = score - (rounded(self.mark + score) - self.mark)
         return d
@@ -145,33 +167,95 @@ class Counts(dict):
             self.steps[key] = [d - self.half for d in range(1, len(at)) if at[d] != at[d - 1]]
         return self.steps[key]
 
-    def __missing__(self, rest: str) -> tuple[list[int], list]:
-        whole, cuts = MARK + rest, set()
-        for n in range(2, min(len(whole), self.lexicon.longest) + 1):
-            score = self.lexicon.scores.get(whole[:n])
-            if score is not None and score != self.mark:
-                cuts.update(self._steps(score))
-        out = sorted(cuts), [None] * (len(cuts) + 1)
+    def _begun(self, rest: str) -> tuple:
+        """The entry of firsts for the longest known beginning."""
+        firsts, n = self.firsts, 1
+        found = firsts[""]
+        while n <= len(rest) and (more := firsts.get(rest[:n])) is not None:
+            found, n = more, n + 1
+        return found
+
+    def __missing__(self, rest: str) -> tuple[tuple[int, ...], list, tuple]:
+        out = self.old.pop(rest, None)
+        if out is None:
+            cuts, ends = self._begun(rest)
+            out = cuts, [None] * (len(cuts) + 1), ends
         if len(rest) <= 32:
-            if len(self) >= CACHE_ENTRIES:
+            if len(self) >= CACHE_ENTRIES // 2:
+                self.old = dict(self)
                 self.clear()
             self[rest] = out
         return out
 
-    def walk(self, rest: list[str], score: int) -> int:
-        """Pieces of stretches in a row (each without its first mark) behind a score."""
-        total, search = 0, self.lexicon.search
+    def search(self, rest: str, d: int, ends: tuple = (), marked: bool = True) -> tuple[int, int]:
+        """Pieces of the mark and rest (or of rest alone) behind a score of d, and the distance from the grid behind them.
+
+        The quick way is for what begins with a mark and a character that are one piece, and has a piece for
+        each character: behind the mark its score is taken off and behind that piece its own, which leaves
+        the first pieces on the grid and all else exact; a cut behind the bare mark is 1e9 behind and never wins.
+        """
+        if marked and (not ends or ends[0][0] != 2) or not self.singles.issuperset(rest):
+            n, after = self.lexicon.search(MARK * marked + rest, d)
+            return n, self.off_grid(after)
+        n = len(rest) + marked
+        best, pieces = [-(10**15)] * (n + 1), [0] * (n + 1)
+        if marked:
+            # rounded(), for the binade of the mark
+            far, e, up = d - self.mark, self.bits, self.half - 1
+            first = (x := far + ends[0][1]) + up + (x >> e & 1) >> e
+            for end, score in ends:
+                x = far + score
+                best[end], pieces[end] = (x + up + (x >> e & 1) >> e) - first << e, 1
+        else:
+            best[0] = d
+        skip = 2 if marked else 1
+        for end, (length, score) in self.inner.iter(rest, 1) if marked else self.inner.iter(rest):
+            end += skip
+            at = end - length
+            score += best[at]
+            if score > best[end]:
+                best[end], pieces[end] = score, pieces[at] + 1
+        after, seen = best[n], best[2 * marked :]
+        if min(seen) < -REBASE or max(seen) > REBASE:
+            base = 0
+            for b in seen[:-1]:
+                if not -REBASE <= b - base <= REBASE:
+                    base = b
+            after -= base
+        return pieces[n], self.off_grid(after)
+
+    def lines(self, stretch: str, d: int) -> tuple[int, int]:
+        """As search, for a stretch with line ends: a character without any piece, behind which the score is taken off."""
+        first, *more = stretch.split("\n")
+        cuts, known, ends = self[first]
+        case = bisect_right(cuts, d)
+        if (found := known[case]) is None:
+            found = known[case] = self.search(first, d, ends)
+        total = found[0]
+        for line in more:
+            if (found := self.plain.get(line)) is None:
+                found = self.search(line, 0, marked=False) if line else (0, 0)
+                if len(line) <= 32:
+                    if len(self.plain) >= CACHE_ENTRIES // 4:
+                        self.plain.clear()
+                    self.plain[line] = found
+            total += found[0] + 1
+        return total, found[1]
+
+    def walk(self, rest: list[str]) -> int:
+        """Pieces of stretches in a row, each without its first mark."""
+        total = d = 0
         for r in rest:
-            cuts, known = self[r]
-            if -REBASE <= score <= REBASE:
-                case = bisect_right(cuts, self.off_grid(score)) if cuts else 0
-            else:
-                score = 0
-                case = bisect_right(cuts, 0) if cuts else 0
+            if "\n" in r and self.ends_lines:
+                n, d = self.lines(r, d)
+                total += n
+                continue
+            cuts, known, ends = self[r]
+            case = bisect_right(cuts, d) if cuts else 0
             if (found := known[case]) is None:
-                found = known[case] = search(MARK + r, score)
-            total += found[0]
-            score = found[1]
+                found = known[case] = self.search(r, d, ends)
+            n, d = found
+            total += n
         return total
 
 
@@ -181,9 +265,9 @@ def count_tokens(text: str, counts: Counts) -> int:
     if not text:
         return 0
     if lexicon.grid and "  " not in text and MARK not in text and text[0] != " ":
-        return counts.walk(text.split(" "), 0)
+        return counts.walk(text.split(" "))
     marked = (MARK if lexicon.dummy_prefix else "") + text.replace(" ", MARK)
-    return counts.walk([m.group()[1:] for m in STRETCH.finditer(marked)], 0) if lexicon.grid else lexicon.count(marked)
+    return counts.walk([m.group()[1:] for m in STRETCH.finditer(marked)]) if lexicon.grid else lexicon.count(marked)
 
 
 @lru_cache(maxsize=2)
