@@ -73,13 +73,40 @@ def name_stem(title: Column) -> Column:
 
 
 def sql_unescape(s: Column) -> Column:
-    """Undoes backslash escapes of SQL dumps; an unknown escape is the character itself."""
+    """Undoes backslash escapes of SQL dumps; an unknown escape is the character itself.
+
+    The text is cut at doubled backslashes, so that none of them begins another escape.
+    """
     known = {"0": "\0", "b": "\b", "n": "\n", "r": "\r", "t": "\t", "Z": "\x1a"}
-    # A doubled backslash waits as a private-use character, so that it does not begin another escape.
-    out = F.replace(s, F.lit("\\\\"), F.lit(""))
-    for k, v in known.items():
-        out = F.replace(out, F.lit("\\" + k), F.lit(v))
-    return F.replace(F.regexp_replace(out, r"\\(.)", "$1"), F.lit(""), F.lit("\\"))
+
+    def part(p: Column) -> Column:
+        for k, v in known.items():
+            p = F.replace(p, F.lit("\\" + k), F.lit(v))
+        return F.regexp_replace(p, r"\\(.)", "$1")
+
+    return F.when(F.instr(s, "\\") == 0, s).otherwise(F.array_join(F.transform(F.split(s, r"\\\\", -1), part), "\\"))
+
+
+def name_choice(name: Column, share: Column, top3: Column, reps: Column, least: float = 0.15) -> Column:
+    """struct(name, source): the first of the tf-idf name and the most common categories (array of title, share) that has the
+    least share and is no maintenance name, or the subject in it; else the first representative title."""
+    first = F.array(F.struct(name.alias("title"), F.coalesce(share, F.lit(0.0)).cast("double").alias("share")))
+    rest = F.coalesce(F.transform(top3, lambda x: F.struct(x["title"].alias("title"), x["share"].cast("double").alias("share"))), F.slice(first, 1, 0))
+    fine = F.filter(F.concat(first, rest), lambda x: x["title"].isNotNull() & (x["title"] != "") & (x["share"] >= least) & ~blacklisted(x["title"]))
+    title = F.get(fine, F.lit(0))["title"]
+    stem, rep = F.coalesce(name_stem(title), F.lit("")), F.get(reps, F.lit(0))
+    pick = lambda n, s: F.struct(n.cast("string").alias("name"), F.lit(s).alias("source"))
+    return (
+        F.when(title.isNotNull() & (stem != ""), pick(stem, "category_stem"))
+        .when(title.isNotNull(), pick(title, "category"))
+        .when(rep.isNotNull(), pick(F.concat(rep, F.when(F.size(reps) > 1, "等").otherwise("")), "rep"))
+        .otherwise(pick(F.lit(""), "none"))
+    )
+
+
+def resolution_tag(resolution: float, suffix: str = "") -> str:
+    """Name of what a resolution gives: res0.5, res1, res2_sub."""
+    return f"res{resolution:g}{suffix}"
 
 
 def display_class(n: Column, reps: Column, out_ratio: Column) -> Column:

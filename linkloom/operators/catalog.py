@@ -51,6 +51,46 @@ def labels(galaxies: DataFrame, overrides: DataFrame, length: int = 16) -> DataF
     return j.select("galaxy_id", F.coalesce("over", F.left(F.get("rep_titles", F.lit(0)), F.lit(length))).alias("label"))
 
 
-def pick_resolution(sizes: DataFrame, target: float = 800.0) -> DataFrame:
-    """The resolution whose median size is nearest to the target on a log scale."""
-    return sizes.agg(F.min_by("resolution", F.struct(F.abs(F.log(F.col("median_size") / target)), "resolution")).alias("resolution"))
+def pick_resolution(sizes: DataFrame, target: float = 800.0, band: tuple[int, int] = (200, 3000)) -> DataFrame:
+    """The resolution whose median size is nearest to the target on a log scale; medians outside the band come after all
+    inside it, those below 50 last; ties go to the smaller resolution."""
+    m = F.col("median_size")
+    behind = F.when(m < 50, 1000.0).when(m.between(*band), 0.0).otherwise(100.0)
+    return sizes.agg(F.min_by("resolution", F.struct(behind + F.abs(F.log(F.greatest(m, F.lit(1.0)) / target)), "resolution")).alias("resolution"))
+
+
+def macro_table(memb: DataFrame, per_macro: DataFrame, galaxies: DataFrame, reps: DataFrame) -> DataFrame:
+    """(macro_id, n_articles, is_dust, n_galaxies, e_in, e_out, out_ratio, rep_titles, top_galaxies).
+
+    memb: (page_id, macro); per_macro: figures of the macros as communities; galaxies: (galaxy_id,
+    macro_id, n_articles); reps: (comm, rep_titles) of the macros. Galaxies without one macro (-1) are not counted.
+    """
+    size = memb.groupBy(F.col("macro").alias("macro_id")).agg(F.count(F.lit(1)).alias("n_articles"))
+    n_gal = galaxies.where("macro_id >= 0").groupBy("macro_id").agg(F.count(F.lit(1)).alias("n_galaxies"))
+    top = top_galaxies(galaxies).groupBy("macro_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "galaxy_id"))), lambda x: x["galaxy_id"]).alias("top_galaxies"))
+    own = per_macro.select(F.col("comm").alias("macro_id"), "e_in", "e_out", "out_ratio")
+    out = size.join(n_gal, "macro_id", "left").join(own, "macro_id", "left").join(reps.select(F.col("comm").alias("macro_id"), "rep_titles"), "macro_id", "left").join(top, "macro_id", "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    return out.select("macro_id", "n_articles", (F.col("n_articles") <= 1).alias("is_dust"), zero("n_galaxies"), zero("e_in"), zero("e_out"), "out_ratio", "rep_titles", "top_galaxies")
+
+
+def named_galaxies(per: DataFrame, names: DataFrame, reps: DataFrame) -> DataFrame:
+    """(comm, display_class, name, name_source, name_share, rep_titles) of each community."""
+    from linkloom.functions import titles
+
+    j = per.select("comm", "n_c", "out_ratio").join(names, "comm", "left").join(reps, "comm", "left")
+    chosen = titles.name_choice(F.col("name"), F.col("share"), F.col("top3"), F.col("rep_titles"))
+    j = j.select("comm", titles.display_class(F.col("n_c"), F.col("rep_titles"), F.col("out_ratio")).alias("display_class"), chosen.alias("c"), F.col("share").alias("name_share"), "rep_titles")
+    return j.select("comm", "display_class", F.col("c.name").alias("name"), F.col("c.source").alias("name_source"), "name_share", "rep_titles")
+
+
+def galaxy_table(per: DataFrame, names: DataFrame, reps: DataFrame, memb: DataFrame, pairs: DataFrame, clusters: DataFrame | None = None, k: int = 8) -> DataFrame:
+    """The catalog's row of each galaxy. clusters: (comm, cluster), null where absent."""
+    near = top_neighbors(pairs, k).withColumnRenamed("g", "comm")
+    own = containment(memb).select("comm", "macro_id")
+    out = per.select("comm", "n_c", "e_in", "e_out", "out_ratio").join(own, "comm").join(named_galaxies(per, names, reps), "comm").join(near, "comm", "left")
+    out = out.join(clusters.select("comm", F.col("cluster").alias("cluster_l2")), "comm", "left") if clusters is not None else out.withColumn("cluster_l2", F.lit(None).cast("int"))
+    return out.select(
+        F.col("comm").alias("galaxy_id"), "macro_id", "cluster_l2", F.col("n_c").alias("n_articles"), "e_in", "e_out", "out_ratio", (F.col("n_c") <= 1).alias("is_dust"),
+        "display_class", "name", "name_source", "name_share", "rep_titles", F.col("top").alias("top_neighbors"), F.coalesce("n_neighbors", F.lit(0).cast("long")).alias("n_neighbors"),
+    )

@@ -24,7 +24,7 @@ def entropy(count: DataFrame) -> DataFrame:
 
 
 def names(artcat: DataFrame, memb: DataFrame, categories: DataFrame, max_freq: int = 20_000) -> DataFrame:
-    """(comm, name, share, top3): the category of the best tf-idf, its share of the articles with one, the three most common.
+    """(comm, name, share, top3): the category of the best tf-idf, its share of the articles with one, the three most common (title, share).
 
     Categories more frequent than max_freq are not used; ties go to the smaller cat_id.
     """
@@ -33,8 +33,10 @@ def names(artcat: DataFrame, memb: DataFrame, categories: DataFrame, max_freq: i
     used = artcat.join(idf.select("cat_id"), "cat_id", "left_semi")
     with_cat = used.join(memb.select("page_id", "comm"), "page_id").groupBy("comm").agg(F.countDistinct("page_id").alias("m"))
     scored = counts(used, memb).join(idf, "cat_id").join(categories.select("cat_id", "title"), "cat_id").withColumn("score", F.round(F.col("cnt") * F.col("idf"), 9))
-    best = scored.groupBy("comm").agg(F.max(F.struct("score", -F.col("cat_id"), "title", "cnt")).alias("b"), F.slice(F.sort_array(F.collect_list(F.struct((-F.col("cnt")).alias("c"), "cat_id", "title"))), 1, 3).alias("t"))
-    return best.join(with_cat, "comm").select("comm", F.col("b.title").alias("name"), (F.col("b.cnt") / F.col("m")).alias("share"), F.transform("t", lambda x: x["title"]).alias("top3"))
+    best = scored.groupBy("comm").agg(F.max(F.struct("score", -F.col("cat_id"), "title", "cnt")).alias("b"))
+    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("comm").orderBy(F.desc("cnt"), "cat_id"))).where("r <= 3").join(with_cat, "comm")
+    three = ranked.groupBy("comm").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "title", (F.col("cnt") / F.col("m")).alias("share")))), lambda x: F.struct(x["title"].alias("title"), x["share"].alias("share"))).alias("top3"))
+    return best.join(with_cat, "comm").join(three, "comm").select("comm", F.col("b.title").alias("name"), (F.col("b.cnt") / F.col("m")).alias("share"), "top3")
 
 
 def nameable(name: DataFrame, memb: DataFrame, threshold: float = 0.3) -> DataFrame:

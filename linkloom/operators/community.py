@@ -35,27 +35,50 @@ def pairs(und: DataFrame, memb: DataFrame) -> DataFrame:
 
 
 def weighted_median(df: DataFrame, value: str, weight: str, share: float = 0.5) -> DataFrame:
-    """Smallest value whose cumulative weight reaches the share; null values and weights of 0 or less are left out."""
+    """Smallest value whose cumulative weight reaches the share; null values and weights of 0 or less are left out.
+
+    For one row per community: the running sum is over their distinct values, in one task.
+    """
     steps = df.where(F.col(value).isNotNull() & (F.col(weight) > 0)).groupBy(F.col(value).alias("v")).agg(F.sum(weight).alias("w"))
     run = steps.select("v", F.sum("w").over(Window.orderBy("v")).alias("cum"), F.sum("w").over(Window.partitionBy()).alias("total"))
     return run.where(F.col("cum") >= F.col("total") * share).agg(F.min("v").alias("weighted_median"))
 
 
+SIZE_SHARES, RATIO_SHARES = (0.05, 0.25, 0.5, 0.75, 0.95, 0.99), (0.1, 0.25, 0.5, 0.75, 0.9)
+
+
 def global_metrics(per: DataFrame) -> DataFrame:
-    """One row over all communities; effective ones have two nodes or more."""
+    """One row over all communities; effective ones have two nodes or more, percentiles are exact and linear."""
     some = F.col("n_c") >= 2
-    return per.agg(
+    points = lambda name, column, shares, only=None: [F.round(F.percentile(F.when(only, F.col(column)) if only is not None else column, s), 6).alias(f"{name}_p{round(s * 100)}") for s in shares]
+    below = lambda limit: F.round(F.try_divide(F.sum(F.when(some & (F.col("out_ratio") < limit), F.col("n_c")).otherwise(0)), F.sum("n_c")), 6)
+    flat = per.agg(
         F.round(F.try_divide(F.sum("e_out") / 2, F.sum("e_in") + F.sum("e_out") / 2), 6).alias("cross_edge_fraction"),
         F.round(F.try_divide(F.max("n_c"), F.sum("n_c")), 6).alias("largest_share"),
         F.round(F.try_divide(F.sum("e_out"), F.sum("e_in") + F.sum("e_out")), 6).alias("mean_out_ratio_edge_weighted"),
-        F.round(F.percentile(F.when(some, F.col("n_c")), 0.5), 6).alias("size_p50"),
-        F.round(F.percentile(F.when(some, F.col("out_ratio")), 0.5), 6).alias("out_ratio_p50"),
-        F.round(F.percentile(F.when(some, F.col("conductance")), 0.9), 6).alias("conductance_p90"),
-        F.round(F.try_divide(F.sum(F.when(some & (F.col("out_ratio") < 0.5), F.col("n_c")).otherwise(0)), F.sum("n_c")), 6).alias("node_share_out_lt_05"),
+        *points("size_all", "n_c", SIZE_SHARES), *points("size", "n_c", SIZE_SHARES, some),
+        *points("out_ratio", "out_ratio", RATIO_SHARES, some), *points("conductance", "conductance", RATIO_SHARES, some),
+        below(0.3).alias("node_share_out_lt_03"), below(0.5).alias("node_share_out_lt_05"),
         F.round(F.try_divide(F.sum("boundary"), F.sum("n_c")), 6).alias("boundary_ratio_node_weighted"),
-        F.count_if(F.col("n_c") == 1).alias("n_singletons"),
-        F.count_if(some).alias("n_effective"),
-    )
+        F.round(F.try_divide(2 * F.sum("e_in") + F.sum("e_out"), F.sum("n_c")), 6).alias("avg_degree_full"),
+        F.count_if(F.col("n_c") == 1).alias("n_singletons"), F.count_if(some).alias("n_effective"), F.sum("n_c").alias("n_nodes"),
+    )
+    top5 = per.orderBy(F.desc("n_c"), "comm").limit(5).agg(F.sum("n_c").alias("top5"))
+    median = weighted_median(per, "out_ratio", "n_c").select(F.round("weighted_median", 6).alias("node_weighted_median_out_ratio"))
+    return flat.crossJoin(top5).crossJoin(median).withColumn("top5_share", F.round(F.try_divide("top5", "n_nodes"), 6)).drop("top5")
+
+
+def size_stats(memb: DataFrame) -> DataFrame:
+    """One row: communities, singletons, median size of the others, share of the largest and of the five largest."""
+    sizes = memb.groupBy("comm").agg(F.count(F.lit(1)).alias("n_c"))
+    top5 = sizes.orderBy(F.desc("n_c"), "comm").limit(5).agg(F.sum("n_c").alias("top5"))
+    out = sizes.agg(F.count(F.lit(1)).alias("n_communities"), F.count_if(F.col("n_c") == 1).alias("n_singletons"), F.percentile(F.when(F.col("n_c") > 1, F.col("n_c")), 0.5).alias("median_nontrivial"), F.max("n_c").alias("largest"), F.sum("n_c").alias("n"))
+    return out.crossJoin(top5).select("n_communities", "n_singletons", "median_nontrivial", F.round(F.col("largest") / F.col("n"), 6).alias("largest_share"), F.round(F.col("top5") / F.col("n"), 6).alias("top5_share"))
+
+
+def weighted_mean(df: DataFrame, value: str, weight: str) -> DataFrame:
+    some = F.col(value).isNotNull() & (F.col(weight) > 0)
+    return df.where(some).agg((F.sum(F.col(value) * F.col(weight)) / F.sum(weight)).alias("weighted_mean"))
 
 
 def modularity(per: DataFrame, gamma: float = 1.0) -> DataFrame:

@@ -5,24 +5,25 @@ from __future__ import annotations
 import numpy as np
 
 
-def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, gamma: float = 1.0, seed: int = 42, passes: int = 10, loops: np.ndarray | None = None) -> np.ndarray:
+def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, gamma: float = 1.0, seed: int = 42, passes: int = 10, loops: np.ndarray | None = None, objective: str = "modularity", sizes: np.ndarray | None = None) -> np.ndarray:
     """Community of each of n nodes by local moves and contraction, then split into connected parts.
 
-    loops: weight of the edges inside each node, where nodes stand for groups.
+    objective: modularity, or cpm (an edge inside counts 1, a pair of nodes inside costs gamma). loops:
+    weight of the edges inside each node, where nodes stand for groups; sizes: articles that each stands for.
     """
-    label, level = np.arange(n), (n, a, b, w, np.zeros(n) if loops is None else loops)
+    label, level = np.arange(n), (n, a, b, w, np.zeros(n) if loops is None else loops, np.ones(n) if sizes is None else sizes.astype(float))
     rng = np.random.default_rng(seed)
     m2 = 2.0 * (w.sum() + level[4].sum())
     if not m2:
         return label
     for _ in range(passes):
-        k, a_, b_, w_, loops = level
+        k, a_, b_, w_, loops, size = level
         src, dst, wt = np.concatenate([a_, b_]), np.concatenate([b_, a_]), np.concatenate([w_, w_])
         order = np.argsort(src, kind="stable")
         src, dst, wt = src[order], dst[order], wt[order]
         at = np.searchsorted(src, np.arange(k + 1))
-        strength = np.bincount(src, wt, k) + 2 * loops
-        comm, volume = np.arange(k), strength.copy()
+        mass, cost = (np.bincount(src, wt, k) + 2 * loops, gamma / m2) if objective == "modularity" else (size, gamma)
+        comm, volume = np.arange(k), mass.copy()
         moved = True
         for _ in range(20):
             if not moved:
@@ -35,12 +36,12 @@ def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, gamma: float =
                 links: dict[int, float] = {}
                 for c, y in zip(comm[near].tolist(), wt[at[x] : at[x + 1]].tolist(), strict=True):
                     links[c] = links.get(c, 0.0) + y
-                volume[own] -= strength[x]
-                gain = lambda c: links.get(c, 0.0) - gamma * strength[x] * volume[c] / m2  # noqa: E731, B023
+                volume[own] -= mass[x]
+                gain = lambda c: links.get(c, 0.0) - cost * mass[x] * volume[c]  # noqa: E731, B023
                 best = max(sorted(links), key=gain)
                 if gain(best) > gain(own) + 1e-12:
                     comm[x], moved = best, True
-                volume[comm[x]] += strength[x]
+                volume[comm[x]] += mass[x]
         names, comm = np.unique(comm, return_inverse=True)
         label = comm[label]
         if len(names) == k:
@@ -50,7 +51,7 @@ def louvain(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, gamma: float =
         lo, hi = np.minimum(ca, cb), np.maximum(ca, cb)
         cross = lo != hi
         key, back = np.unique(lo[cross] * len(names) + hi[cross], return_inverse=True)
-        level = (len(names), key // len(names), key % len(names), np.bincount(back, w_[cross], len(key)), loops)
+        level = (len(names), key // len(names), key % len(names), np.bincount(back, w_[cross], len(key)), loops, np.bincount(comm, size, len(names)))
     return connected(n, a, b, label)
 
 
@@ -76,9 +77,11 @@ def connected(n: int, a: np.ndarray, b: np.ndarray, label: np.ndarray) -> np.nda
     return rank[back]
 
 
-def subdivide(n: int, a: np.ndarray, b: np.ndarray, max_size: int, depth: int = 4, seed: int = 42) -> np.ndarray:
-    """Recursive communities until none but those that cannot be cut is larger than max_size."""
-    label = louvain(n, a, b, np.ones(len(a)), seed=seed)
+def subdivide(n: int, a: np.ndarray, b: np.ndarray, max_size: int, depth: int = 4, seed: int = 42, min_size: int = 0, gamma: float = 1.0, objective: str = "modularity") -> np.ndarray:
+    """Recursive communities until none but those that cannot be cut is larger than max_size; groups of up to min_size nodes stay whole."""
+    if n <= min_size:
+        return np.zeros(n, np.int64)
+    label = louvain(n, a, b, np.ones(len(a)), gamma, seed, objective=objective)
     if depth > 1:
         top = label.max() + 1
         for c in range(label.max() + 1):
@@ -87,34 +90,68 @@ def subdivide(n: int, a: np.ndarray, b: np.ndarray, max_size: int, depth: int =
                 index = np.full(n, -1)
                 index[nodes] = np.arange(len(nodes))
                 inside = (index[a] >= 0) & (index[b] >= 0)
-                sub = subdivide(len(nodes), index[a[inside]], index[b[inside]], max_size, depth - 1, seed + 1)
+                sub = subdivide(len(nodes), index[a[inside]], index[b[inside]], max_size, depth - 1, seed + 1, min_size, gamma, objective)
                 if sub.max() > 0:
                     label[nodes] = np.where(sub > 0, sub + top - 1, c)
                     top += sub.max()
     return label
 
 
-def force_layout(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, dim: int = 3, steps: int = 80, seed: int = 42) -> np.ndarray:
-    """Fruchterman-Reingold in the unit ball; forces on all pairs go in blocks of rows."""
-    if n == 1:
-        return np.zeros((1, dim))
-    rng = np.random.default_rng(seed)
-    p, k = rng.normal(size=(n, dim)), 1.0 / n ** (1 / dim)
+#: Nodes up to which every pair is pushed apart; above, each node is pushed by so many others at a time.
+ALL_PAIRS, SAMPLE = 1500, 96
+
+
+def _anneal(p: np.ndarray, a: np.ndarray, b: np.ndarray, w: np.ndarray, steps: int, rng: np.random.Generator, heat: float) -> np.ndarray:
+    """Steps of Fruchterman-Reingold. Above ALL_PAIRS nodes the push on a node is estimated from SAMPLE others, drawn anew in
+    each step, so a step takes n * SAMPLE instead of n * n."""
+    n, dim = p.shape
+    k = 1.0 / n ** (1 / dim)
     for t in range(steps):
         push = np.empty_like(p)
-        for lo in range(0, n, 512):
-            d = p[lo : lo + 512, None] - p[None]
-            push[lo : lo + 512] = (d * (k * k / np.maximum((d**2).sum(2), 1e-9))[:, :, None]).sum(1)
+        if n <= ALL_PAIRS:
+            for lo in range(0, n, 512):
+                d = p[lo : lo + 512, None] - p[None]
+                push[lo : lo + 512] = (d * (k * k / np.maximum((d**2).sum(2), 1e-9))[:, :, None]).sum(1)
+        else:
+            others = (np.arange(n)[:, None] + rng.integers(1, n, SAMPLE)[None, :]) % n
+            for lo in range(0, n, 4096):
+                d = p[lo : lo + 4096, None] - p[others[lo : lo + 4096]]
+                push[lo : lo + 4096] = (d * (k * k / np.maximum((d**2).sum(2), 1e-9))[:, :, None]).sum(1) * (n - 1) / SAMPLE
         if len(a):
             d = p[a] - p[b]
             pull = d * (np.sqrt((d**2).sum(1)) * w / k)[:, None]
             for c in range(dim):
                 push[:, c] += np.bincount(b, pull[:, c], n) - np.bincount(a, pull[:, c], n)
         size = np.maximum(np.sqrt((push**2).sum(1)), 1e-9)
-        p += push / size[:, None] * np.minimum(size, 0.2 * (1 - t / steps))[:, None]
-    p -= p.mean(0)
+        p = p + push / size[:, None] * np.minimum(size, heat * (1 - t / steps))[:, None]
+    return p
+
+
+def force_layout(n: int, a: np.ndarray, b: np.ndarray, w: np.ndarray, dim: int = 3, steps: int = 80, seed: int = 42, multilevel: int = 2000, norm: str = "p98") -> np.ndarray:
+    """Fruchterman-Reingold in the unit ball.
+
+    From multilevel nodes on, communities are laid out first and their nodes start near them, which needs
+    fewer steps. norm: p98 puts 98 % of the nodes inside the ball and draws the rest onto it, max the farthest.
+    """
+    if n == 1:
+        return np.zeros((1, dim))
+    rng = np.random.default_rng(seed)
+    p = None
+    if n >= multilevel and len(a):
+        group = louvain(n, a, b, w, seed=seed, passes=3)
+        k = int(group.max()) + 1
+        if 8 <= k < n:
+            ga, gb = group[a], group[b]
+            cross = ga != gb
+            key, back = np.unique(np.minimum(ga, gb)[cross] * k + np.maximum(ga, gb)[cross], return_inverse=True)
+            cw = np.bincount(back, w[cross], len(key))
+            coarse = force_layout(k, key // k, key % k, cw / max(cw.max(initial=0), 1e-9), dim, steps, seed + 1, multilevel=1 << 60)
+            p = _anneal(coarse[group] + rng.normal(scale=0.02, size=(n, dim)), a, b, w, steps // 2, rng, 0.05)
+    if p is None:
+        p = _anneal(rng.normal(size=(n, dim)), a, b, w, steps, rng, 0.2)
+    p = p - p.mean(0)
     r = np.sqrt((p**2).sum(1))
-    p /= max(np.percentile(r, 98), 1e-9)
+    p /= max(np.percentile(r, 98) if norm == "p98" else r.max(), 1e-9)
     return p / np.maximum(np.sqrt((p**2).sum(1)), 1.0)[:, None]
 
 

@@ -148,9 +148,6 @@ def per(w) -> DataFrame:
 query("comm_metrics", PER)(lambda w: per(w).select("comm", "n_c", "e_in", "e_out", "boundary", *r6("out_ratio", "conductance", "avg_degree", "boundary_ratio")))
 query("boundary_nodes", "SELECT comm, boundary FROM w_comm")(lambda w: per(w).select("comm", "boundary"))
 query("comm_pairs", "SELECT a, b, w FROM w_pairs")(lambda w: community.pairs(w.und(), w.memb))
-query("global_metrics", """SELECT round(sum(e_out) / 2 / (sum(e_in) + sum(e_out) / 2), 6) AS cross_edge_fraction, round(max(n_c) / sum(n_c), 6) AS largest_share, round(sum(e_out) / (sum(e_in) + sum(e_out)), 6) AS mean_out_ratio_edge_weighted,
-  round(quantile_cont(n_c, 0.5) FILTER (WHERE n_c >= 2), 6) AS size_p50, round(quantile_cont(e_out / nullif(e_in + e_out, 0), 0.5) FILTER (WHERE n_c >= 2), 6) AS out_ratio_p50, round(quantile_cont(e_out / nullif(2 * e_in + e_out, 0), 0.9) FILTER (WHERE n_c >= 2), 6) AS conductance_p90,
-  round(coalesce(sum(n_c) FILTER (WHERE n_c >= 2 AND e_out / nullif(e_in + e_out, 0) < 0.5), 0) / sum(n_c), 6) AS node_share_out_lt_05, round(sum(boundary) / sum(n_c), 6) AS boundary_ratio_node_weighted, count_if(n_c = 1)::BIGINT AS n_singletons, count_if(n_c >= 2)::BIGINT AS n_effective FROM w_comm""")(lambda w: community.global_metrics(per(w)))
 query("weighted_median", "SELECT round(min(v), 6) AS weighted_median FROM (SELECT v, sum(n_c) OVER (ORDER BY v) AS cum, sum(n_c) OVER () AS t FROM (SELECT e_out / nullif(e_in + e_out, 0) AS v, n_c FROM w_comm) WHERE v IS NOT NULL) WHERE cum >= t / 2")(lambda w: community.weighted_median(per(w), "out_ratio", "n_c").select(*r6("weighted_median")))
 query("weighted_percentiles", " UNION ALL ".join(f"SELECT {s} AS share, round(min(v), 6) AS value FROM (SELECT v, sum(n_c) OVER (ORDER BY v) AS cum, sum(n_c) OVER () AS t FROM (SELECT conductance AS v, n_c FROM (SELECT e_out / nullif(2 * e_in + e_out, 0) AS conductance, n_c FROM w_comm)) WHERE v IS NOT NULL) WHERE cum >= t * {s}" for s in ("0.25::DOUBLE", "0.75::DOUBLE")))(lambda w: community.weighted_median(per(w), "conductance", "n_c", 0.25).select(F.lit(0.25).alias("share"), F.round("weighted_median", 6).alias("value")).unionByName(community.weighted_median(per(w), "conductance", "n_c", 0.75).select(F.lit(0.75).alias("share"), F.round("weighted_median", 6).alias("value"))))
 query("rep_titles", "SELECT comm, string_agg(title, ',' ORDER BY r) AS reps FROM (SELECT m.comm, a.title, row_number() OVER (PARTITION BY m.comm ORDER BY d.deg DESC, m.page_id) AS r FROM w_memb m JOIN w_deg d ON d.page_id = m.page_id JOIN w_article a ON a.page_id = m.page_id) WHERE r <= 3 GROUP BY comm")(lambda w: community.rep_titles(graph.node_degrees(w.und(), w.article), w.memb, w.article).select("comm", F.array_join("rep_titles", ",").alias("reps")))
@@ -199,13 +196,7 @@ query("display_class", f"SELECT page_id, CASE WHEN page_id % 9 <= 1 THEN 'dust'
 query("label_override", "SELECT comm AS galaxy_id, CASE WHEN comm % 2 = 0 THEN concat('Label ', comm) ELSE left(concat('Representative_', comm), 16) END AS label FROM (SELECT DISTINCT comm FROM w_memb)")(lambda w: cat.labels(w.memb.select(F.col("comm").alias("galaxy_id")).distinct().withColumn("rep_titles", F.array(F.concat(F.lit("Representative_"), "galaxy_id"))), w.memb.select(F.col("comm").alias("galaxy_id")).distinct().select("galaxy_id", F.when(F.col("galaxy_id") % 2 == 0, F.concat(F.lit("Label "), "galaxy_id")).otherwise("  ").alias("label"))))
 
 
-@query("galaxy_catalog", f"SELECT c.comm AS galaxy_id, (c.comm % 5)::INT AS macro_id, n_c AS n_articles, e_in, e_out, round(e_out / nullif(e_in + e_out, 0), 6) AS out_ratio, x.name, c.n_c <= 1 AS is_dust FROM w_comm c LEFT JOIN {NAMES} x ON x.comm = c.comm")
-def _(w):
-    return per(w).join(named(w), "comm", "left").join(cat.containment(w.memb), "comm").select(F.col("comm").alias("galaxy_id"), "macro_id", F.col("n_c").alias("n_articles"), "e_in", "e_out", *r6("out_ratio"), "name", (F.col("n_c") <= 1).alias("is_dust"))
-
-
 query("galaxy_search", "SELECT page_id AS id, title AS name FROM w_page WHERE contains(lower(title), 'e_11') ORDER BY CASE WHEN starts_with(lower(title), 'e_11') THEN 0 ELSE 1 END, page_id LIMIT 12")(lambda w: cat.search(w.page.select(F.col("page_id").alias("id"), F.col("title").alias("name")), "e_11"))
-query("resolution_pick", "SELECT arg_min(r, abs(ln(m / 800))) AS resolution FROM (SELECT macro::DOUBLE AS r, sum(page_id % 7 + 1) * 1.0 AS m FROM w_memb GROUP BY macro)")(lambda w: cat.pick_resolution(w.memb.groupBy(F.col("macro").cast("double").alias("resolution")).agg((F.sum(F.col("page_id") % 7 + 1) * 1.0).alias("median_size"))))
 
 # Pruning and subsets
 
@@ -213,7 +204,6 @@ PRIO = "(u * 7919 + v * 104729) % 1000003"
 RANKED = f"(SELECT *, row_number() OVER (PARTITION BY u ORDER BY {PRIO}, u, v) AS ru, row_number() OVER (PARTITION BY v ORDER BY {PRIO}, u, v) AS rv, count(*) OVER (PARTITION BY u) AS du, count(*) OVER (PARTITION BY v) AS dv FROM w_und)"
 query("degree_budget_both", f"SELECT u, v FROM {RANKED} WHERE ru <= 4 AND rv <= 4")(lambda w: graph.degree_budget(w.und(), 4, "both"))
 query("degree_budget_smart", f"SELECT u, v FROM {RANKED} WHERE ru <= 4 OR du <= 4 OR rv <= 4 OR dv <= 4")(lambda w: graph.degree_budget(w.und(), 4, "smart"))
-query("hub_filter", "SELECT u, v FROM w_und JOIN w_deg a ON a.page_id = u JOIN w_deg b ON b.page_id = v WHERE a.deg <= 20 AND b.deg <= 20")(lambda w: graph.drop_hub_edges(w.und(), graph.node_degrees(w.und(), w.article), 20))
 query("hub_weights", "SELECT u, v, round(1 / (ln(2 + a.deg) * ln(2 + b.deg)), 6) AS w FROM w_und JOIN w_deg a ON a.page_id = u JOIN w_deg b ON b.page_id = v")(lambda w: graph.hub_weights(w.und(), graph.node_degrees(w.und(), w.article)).select("u", "v", *r6("w")))
 query("id_window", "SELECT page_id, title FROM w_article ORDER BY page_id DESC LIMIT 100")(lambda w: graph.id_window(w.article, 100))
 query("bfs_khop", "SELECT page_id, min(hop)::INT AS hop FROM (WITH RECURSIVE b AS (SELECT page_id, 0 AS hop FROM w_article WHERE page_id IN (1, 2, 3) UNION SELECT e.dst, b.hop + 1 FROM b JOIN (SELECT DISTINCT src, dst FROM w_edge) e ON e.src = b.page_id WHERE b.hop < 3) SELECT * FROM b) GROUP BY page_id")(lambda w: graph.bfs(w.edges().distinct(), w.article.where("page_id IN (1, 2, 3)"), 3))
@@ -234,15 +224,11 @@ query("radial_clamp", "SELECT comm, round(x * f, 6) AS x, round(y * f, 6) AS y,
 query("recompose", "SELECT m.page_id, round(p.x + 1 + (m.page_id % 10 - p.x) * 2, 6) AS x, round(p.y + 1 + (1 - p.y) * 2, 6) AS y, round(p.z + 1 + (0 - p.z) * 2, 6) AS z FROM w_memb m JOIN w_pos p ON p.comm = m.comm")(lambda w: layout.recompose(w.memb.selectExpr("page_id", "comm", "page_id % 10 * 1.0D AS x", "1.0D AS y", "0.0D AS z"), w.pos(), w.pos().selectExpr("comm", "x + 1 AS x", "y + 1 AS y", "z + 1 AS z", "radius * 2 AS radius")).select("page_id", *r6("x", "y", "z")))
 query("spill_list", "SELECT comm, round(d + radius - 12, 6) AS excess FROM (SELECT *, sqrt(x ** 2 + y ** 2 + z ** 2) AS d FROM w_pos) WHERE d + radius > 1.02 * 12 ORDER BY excess DESC, comm LIMIT 20")(lambda w: layout.spills(w.pos(), w.pos().selectExpr("macro", "0.0D AS x", "0.0D AS y", "0.0D AS z", "12.0D AS radius").distinct()).select("comm", *r6("excess")))
 query("overlap_fraction", "SELECT round(coalesce(sum(pi() * (s - d) ** 2 * (d ** 2 + 2 * d * s - 3 * (ra - rb) ** 2) / (12 * d)), 0) / (SELECT sum(pi() * 4 / 3 * radius ** 3) FROM w_pos), 6) AS overlap, count(*) AS n_pairs FROM (SELECT a.radius AS ra, b.radius AS rb, a.radius + b.radius AS s, greatest(sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2), abs(a.radius - b.radius), 1e-9) AS d FROM w_pos a JOIN w_pos b ON a.comm < b.comm) WHERE d < s")(lambda w: layout.overlap_fraction(w.pos()).select(F.round("overlap", 6).alias("overlap"), "n_pairs"))
-query("adjacency_recall", "SELECT round(avg(s), 6) AS recall, count(*) AS n FROM (SELECT g, avg(CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END) AS s FROM (SELECT t.g, n.j IS NOT NULL AS hit FROM (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY g ORDER BY w DESC, o) AS r FROM (SELECT a AS g, b AS o, w FROM w_pairs UNION ALL SELECT b, a, w FROM w_pairs)) WHERE r <= 3) t LEFT JOIN (SELECT * FROM (SELECT a.comm AS i, b.comm AS j, row_number() OVER (PARTITION BY a.comm ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2 + (a.z - b.z) ** 2, b.comm) AS r FROM w_pos a JOIN w_pos b ON a.comm <> b.comm) WHERE r <= 3) n ON n.i = t.g AND n.j = t.o) GROUP BY g)")(lambda w: layout.adjacency_recall(w.pos(), community.pairs(w.und(), w.memb)).select(F.round("recall", 6).alias("recall"), "n"))
-query("pages_inbound_top", "SELECT v AS page_id, count(*) AS n FROM w_und GROUP BY v ORDER BY n DESC, v LIMIT 14")(lambda w: w.und().groupBy(F.col("v").alias("page_id")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "page_id").limit(14))
 query("membership_export", "SELECT m.page_id, title, comm, macro FROM w_memb m JOIN w_article a ON a.page_id = m.page_id")(lambda w: w.memb.join(w.article, "page_id").select("page_id", "title", "comm", "macro"))
 query("parsed_pages", "SELECT count(*) AS n_rows, count_if(ns = 0)::BIGINT AS n_ns0, count_if(ns = 0 AND is_redirect)::BIGINT AS n_redirect, count_if(ns = 0 AND NOT is_redirect)::BIGINT AS n_article FROM w_page")(lambda w: w.page.agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("ns") == 0).alias("n_ns0"), F.count_if((F.col("ns") == 0) & F.col("is_redirect")).alias("n_redirect"), F.count_if((F.col("ns") == 0) & ~F.col("is_redirect")).alias("n_article")))
-query("flatness_cov", "SELECT macro, round(covar_samp(x, x), 6) AS xx, round(covar_samp(x, y), 6) AS xy, round(covar_samp(x, z), 6) AS xz, round(covar_samp(y, y), 6) AS yy, round(covar_samp(y, z), 6) AS yz, round(covar_samp(z, z), 6) AS zz FROM w_pos GROUP BY macro")(lambda w: w.pos().groupBy("macro").agg(*[F.round(F.covar_samp(a, b), 6).alias(a + b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")]))
 query("tile_local_index", "SELECT page_id, comm, (row_number() OVER (PARTITION BY comm ORDER BY page_id) - 1)::INT AS local_idx FROM w_memb")(lambda w: layout.local_index(w.memb))
 query("cross_cap", "SELECT page_id, other FROM (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY other) AS r FROM (SELECT u AS page_id, v AS other FROM w_mu WHERE cu <> cv UNION ALL SELECT v, u FROM w_mu WHERE cu <> cv)) WHERE r <= 8")(lambda w: layout.cross_cap(w.und(), w.memb))
-query("names_crosstab", "SELECT macro, count_if(comm % 3 = 0)::BIGINT AS c0, count_if(comm % 3 = 1)::BIGINT AS c1, count_if(comm % 3 = 2)::BIGINT AS c2 FROM w_memb GROUP BY macro")(lambda w: w.memb.selectExpr("macro", "concat('c', comm % 3) AS class").groupBy("macro").pivot("class", ["c0", "c1", "c2"]).agg(F.count(F.lit(1))).fillna(0))
-query("lpt_bins")(lambda w: w.spark.createDataFrame(layout.lpt_bins(w.memb.groupBy("comm").agg(F.count(F.lit(1)).alias("n")), 4), "comm int, bin int"))
+query("lpt_bins")(lambda w: layout.lpt_bins(w.memb.groupBy("comm").agg(F.count(F.lit(1)).alias("n")), 4))
 
 # Solvers
 
@@ -250,4 +236,5 @@ query("detect_communities")(lambda w: solvers.detect(w.und(), w.article))
 query("subdivide_communities")(lambda w: solvers.subdivide(w.und(), w.memb.selectExpr("page_id", "macro AS comm"), max_size=60))
 query("l2_cluster")(lambda w: solvers.cluster(community.pairs(w.und(), w.memb)))
 query("layout_local")(lambda w: solvers.layout_local(w.und(), w.memb))
-query("tile_roundtrip")(lambda w: solvers.tile_roundtrip(w.und(), w.memb))
+
+from . import more  # noqa: E402, F401  the rest of the queries register themselves

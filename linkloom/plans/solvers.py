@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-import tempfile
+import json
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkloom.operators import community, kernels
+from linkloom.operators import community, graph, kernels, layout
+from linkloom.sources.scratch import cut
 
 #: Edges up to which a whole graph is refined in one group.
 LOCAL_EDGES = 2_000_000
@@ -19,23 +20,25 @@ def _index(ids: np.ndarray, *columns: np.ndarray) -> list[np.ndarray]:
     return [np.searchsorted(ids, c) for c in columns]
 
 
-def _move(edges: DataFrame, owner: DataFrame, m2: float, gamma: float, rounds: int = 8) -> DataFrame:
-    """owner (x, c) after rounds in which nodes go where modularity gains most; edges (u, v, w), u = v inside a node.
+def _move(edges: DataFrame, owner: DataFrame, m2: float, gamma: float, rounds: int = 8, sizes: DataFrame | None = None) -> DataFrame:
+    """owner (x, c) after rounds in which nodes go where the quality gains most; edges (u, v, w), u = v inside a node.
 
     In a round the nodes of one half by hash move at once, so that two neighbours rarely swap places.
+    sizes (x, k): articles of each node, for the cpm quality; without it the quality is modularity.
     """
     sides = edges.where("u <> v").select("u", "v", "w").unionByName(edges.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
-    strength = edges.select(F.explode(F.array("u", "v")).alias("x"), "w").groupBy("x").agg(F.sum("w").alias("k")).checkpoint()
+    strength = cut(sizes if sizes is not None else edges.select(F.explode(F.array("u", "v")).alias("x"), "w").groupBy("x").agg(F.sum("w").alias("k")))
+    cost = gamma if sizes is not None else gamma / m2
     still = 0
     for r in range(rounds):
         volume = owner.join(strength, "x").groupBy("c").agg(F.sum("k").alias("vol"))
         near = sides.join(owner.select(F.col("x").alias("v"), "c"), "v").groupBy(F.col("u").alias("x"), "c").agg(F.sum("w").alias("w"))
         own = owner.join(strength, "x").select("x", F.col("c").alias("own"), "k").where(F.pmod(F.xxhash64("x", F.lit(r // 2)), F.lit(2)) == r % 2)
         choices = near.unionByName(owner.select("x", "c", F.lit(0.0).alias("w"))).groupBy("x", "c").agg(F.sum("w").alias("w"))
-        gain = F.col("w") - F.lit(gamma / m2) * F.col("k") * (F.col("vol") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0))
+        gain = F.col("w") - F.lit(cost) * F.col("k") * (F.col("vol") - F.when(F.col("c") == F.col("own"), F.col("k")).otherwise(0.0))
         scored = choices.join(own, "x").join(volume, "c").select("x", "c", "own", F.round(gain, 9).alias("gain"))
         best = scored.groupBy("x").agg(F.max(F.struct("gain", (F.col("c") == F.col("own")).alias("stay"), (-F.col("c")).alias("c"))).alias("b")).select("x", (-F.col("b.c")).alias("to"))
-        moved = owner.join(best, "x", "left").select("x", F.coalesce("to", "c").alias("c"), (F.coalesce("to", "c") != F.col("c")).alias("moved")).checkpoint()
+        moved = cut(owner.join(best, "x", "left").select("x", F.coalesce("to", "c").alias("c"), (F.coalesce("to", "c") != F.col("c")).alias("moved")))
         still = 0 if moved.where("moved").count() else still + 1
         owner = moved.select("x", "c")
         if still == 2:  # neither half
@@ -46,92 +49,119 @@ def _move(edges: DataFrame, owner: DataFrame, m2: float, gamma: float, rounds: i
 def _connected(edges: DataFrame, owner: DataFrame) -> DataFrame:
     """owner (x, c) with each community split into connected parts; c is the least node of the part."""
     inside = edges.join(owner.select(F.col("x").alias("u"), F.col("c").alias("cu")), "u").join(owner.select(F.col("x").alias("v"), F.col("c").alias("cv")), "v").where("cu = cv").select("u", "v")
-    sides = inside.unionByName(inside.select(F.col("v").alias("u"), F.col("u").alias("v"))).checkpoint()
+    sides = cut(inside.unionByName(inside.select(F.col("v").alias("u"), F.col("u").alias("v"))))
     now = owner.select("x", F.col("x").alias("c"))
     while True:
         near = sides.join(now.select(F.col("x").alias("v"), "c"), "v").groupBy(F.col("u").alias("x")).agg(F.min("c").alias("m"))
         step = now.join(near, "x", "left").select("x", F.least("c", "m").alias("n"), "c")
         up = step.select(F.col("x").alias("n"), F.col("n").alias("nn"))  # a root's own root, so that chains halve
-        step = step.join(up, "n", "left").select("x", F.least("n", "nn").alias("n"), "c").checkpoint()
+        step = cut(step.join(up, "n", "left").select("x", F.least("n", "nn").alias("n"), "c"))
         if not step.where("n <> c").count():
             return step.select("x", "c")
         now = step.select("x", F.col("n").alias("c"))
 
 
-def detect(und: DataFrame, articles: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """(page_id, comm): communities of the whole graph.
+def detect(und: DataFrame, articles: DataFrame, gamma: float = 1.0, objective: str = "modularity", max_edges: int = 0) -> DataFrame:
+    """(page_id, comm): communities of the whole graph, by modularity or cpm; max_edges: only that many edges, by priority, for a trial.
 
     While there are more than LOCAL_EDGES weighted edges, nodes move in parallel rounds as modularity gains and
     their communities become the nodes of a smaller graph; the rest is refined in one group. After that
     the articles themselves move once more, so none is tied to what it was merged with, and
     communities are split into connected parts. Isolated articles are communities of their own.
     """
-    sc = und.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():  # none named in spark.checkpoint.dir, as in tests
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="linkloom-"))
+    if max_edges:
+        und = und.orderBy(graph.priority(), "u", "v").limit(max_edges)
+    cpm = objective == "cpm"
     whole = edges = und.select("u", "v", F.lit(1.0).alias("w"))
     owner = articles.select("page_id", F.col("page_id").alias("c"))
     n_edges = edges.count()
     m2, merged, fits = 2.0 * n_edges, False, True
     while n_edges > LOCAL_EDGES:
         nodes = edges.select(F.explode(F.array("u", "v")).alias("x")).distinct()
-        to = _move(edges, nodes.select("x", F.col("x").alias("c")), m2, gamma).withColumnRenamed("c", "to")
+        sizes = owner.groupBy(F.col("c").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("k")).join(nodes, "x", "left_semi") if cpm else None
+        to = _move(edges, nodes.select("x", F.col("x").alias("c")), m2, gamma, sizes=sizes).withColumnRenamed("c", "to")
         if not to.where("x <> to").count():  # no move gains: these are the communities
             fits = False
             break
-        owner = owner.join(to, F.col("c") == F.col("x"), "left").select("page_id", F.coalesce("to", "c").alias("c")).checkpoint()
+        owner = cut(owner.join(to, F.col("c") == F.col("x"), "left").select("page_id", F.coalesce("to", "c").alias("c")))
         a, b = to.select(F.col("x").alias("u"), F.col("to").alias("cu")), to.select(F.col("x").alias("v"), F.col("to").alias("cv"))
-        edges = edges.join(a, "u").join(b, "v").groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w")).checkpoint()
+        edges = cut(edges.join(a, "u").join(b, "v").groupBy(F.least("cu", "cv").alias("u"), F.greatest("cu", "cv").alias("v")).agg(F.sum("w").alias("w")))
         n_edges, merged = edges.where("u <> v").count(), True
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["u", "v"])
         ids = np.unique(np.concatenate([g.u, g.v]))
         e, inner = g[g.u != g.v], g[g.u == g.v]
-        loops = np.zeros(len(ids))
+        inner, sized = inner[inner.k == 0], inner[inner.k > 0]
+        loops, sizes = np.zeros(len(ids)), np.ones(len(ids))
         loops[np.searchsorted(ids, inner.u.to_numpy())] = inner.w.to_numpy(float)
-        label = kernels.louvain(len(ids), *_index(ids, e.u.to_numpy(), e.v.to_numpy()), e.w.to_numpy(float), gamma, loops=loops)
+        sizes[np.searchsorted(ids, sized.u.to_numpy())] = sized.k.to_numpy(float)
+        label = kernels.louvain(len(ids), *_index(ids, e.u.to_numpy(), e.v.to_numpy()), e.w.to_numpy(float), gamma, loops=loops, objective=objective, sizes=sizes)
         return pd.DataFrame({"c": ids, "l": pd.Series(ids).groupby(label).transform("min")})
 
     if fits:
-        solved = edges.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(solve, "c long, l long")
+        rows = edges.withColumn("k", F.lit(0.0))
+        if cpm:
+            ends = edges.select(F.explode(F.array("u", "v")).alias("c")).distinct()
+            own = owner.join(ends, "c", "left_semi").groupBy("c").agg(F.count(F.lit(1)).cast("double").alias("k"))
+            rows = rows.unionByName(own.select(F.col("c").alias("u"), F.col("c").alias("v"), F.lit(0.0).alias("w"), "k"))
+        solved = rows.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(solve, "c long, l long")
         owner = owner.join(solved, "c", "left").select("page_id", F.coalesce("l", "c").alias("c"))
     if merged:
         linked = whole.select(F.explode(F.array("u", "v")).alias("x")).distinct()
-        start = owner.withColumnRenamed("page_id", "x").join(linked, "x", "left_semi").checkpoint()
-        final = _connected(whole, _move(whole, start, m2, gamma)).select(F.col("x").alias("page_id"), F.col("c").alias("l"))
+        start = cut(owner.withColumnRenamed("page_id", "x").join(linked, "x", "left_semi"))
+        ones = start.select("x", F.lit(1.0).alias("k")) if cpm else None
+        final = _connected(whole, _move(whole, start, m2, gamma, sizes=ones)).select(F.col("x").alias("page_id"), F.col("c").alias("l"))
         owner = owner.join(final, "page_id", "left").select("page_id", F.coalesce("l", "c").alias("c"))
     return owner.select("page_id", F.col("c").alias("comm"))
 
 
-def subdivide(und: DataFrame, memb: DataFrame, max_size: int, seed: int = 42) -> DataFrame:
-    """(page_id, comm, part): each community cut further, group by group."""
+def subdivide(und: DataFrame, memb: DataFrame, max_size: int, seed: int = 42, min_size: int = 0, gamma: float = 1.0, objective: str = "modularity", depth: int = 4) -> DataFrame:
+    """(page_id, comm, part): each community cut further until its parts have max_size articles at most; communities of up to min_size stay whole.
+
+    Communities of up to LOCAL_EDGES inner edges are one task each. Larger ones are first cut by detect,
+    all at once on their inner edges alone, so that no task holds more than that.
+    """
+    kind = memb.schema["comm"].dataType.simpleString()
     inner = community.ends(und, memb).where("cu = cv").select(F.col("cu").alias("comm"), "u", "v")
-    rows = inner.unionByName(memb.select("comm", F.col("page_id").alias("u"), F.col("page_id").alias("v")))
+    big = inner.groupBy("comm").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > LOCAL_EDGES).select("comm")
+    own = memb.select("page_id", "comm", F.lit(0).cast("long").alias("first"))
+    if not big.isEmpty():
+        big = cut(big)
+        first = detect(inner.join(big, "comm", "left_semi").select("u", "v"), memb.join(big, "comm", "left_semi"), gamma, objective).select("page_id", F.col("comm").alias("cut"))
+        own = cut(memb.select("page_id", "comm").join(first, "page_id", "left").select("page_id", "comm", F.coalesce("cut", F.lit(0)).alias("first")))
+        a, b = own.select(F.col("page_id").alias("u"), F.col("first").alias("fu")), own.select(F.col("page_id").alias("v"), F.col("first").alias("fv"))
+        inner = inner.join(a, "u").join(b, "v").where("fu = fv").select("comm", "u", "v", F.col("fu").alias("first"))
+    else:
+        inner = inner.withColumn("first", F.lit(0).cast("long"))
+    rows = inner.unionByName(own.select("comm", F.col("page_id").alias("u"), F.col("page_id").alias("v"), "first"))
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["u", "v"])
         ids = np.unique(g.u[g.u == g.v])
         e = g[g.u != g.v]
-        part = kernels.subdivide(len(ids), *_index(ids, e.u.to_numpy(), e.v.to_numpy()), max_size, seed=seed)
-        return pd.DataFrame({"page_id": ids, "comm": g.comm.iloc[0], "part": part.astype("int32")})
+        part = kernels.subdivide(len(ids), *_index(ids, e.u.to_numpy(), e.v.to_numpy()), max_size, depth, seed, min_size, gamma, objective)
+        return pd.DataFrame({"page_id": ids, "comm": g.comm.iloc[0], "first": g["first"].iloc[0], "part": part.astype("int64")})
 
-    return rows.groupBy("comm").applyInPandas(solve, "page_id long, comm int, part int")
+    parts = rows.groupBy("comm", "first").applyInPandas(solve, f"page_id long, comm {kind}, first long, part long")
+    return parts.select("page_id", "comm", F.when(F.col("first") == 0, F.col("part")).otherwise(F.xxhash64("first", "part")).alias("part"))
 
 
 def cluster(pairs: DataFrame, gamma: float = 1.0) -> DataFrame:
-    """(comm, cluster): communities of the weighted graph of communities."""
+    """(comm, cluster): communities of the weighted graph of communities, which is one task."""
+    kind = pairs.schema["a"].dataType.simpleString()
 
     def solve(g: pd.DataFrame) -> pd.DataFrame:
         g = g.sort_values(["a", "b"])
         ids = np.unique(np.concatenate([g.a, g.b]))
-        return pd.DataFrame({"comm": ids.astype("int32"), "cluster": kernels.louvain(len(ids), *_index(ids, g.a.to_numpy(), g.b.to_numpy()), g.w.to_numpy(float), gamma).astype("int32")})
+        return pd.DataFrame({"comm": ids, "cluster": kernels.louvain(len(ids), *_index(ids, g.a.to_numpy(), g.b.to_numpy()), g.w.to_numpy(float), gamma).astype("int32")})
 
-    return pairs.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(solve, "comm int, cluster int")
+    return pairs.withColumn("g", F.lit(0)).groupBy("g").applyInPandas(solve, f"comm {kind}, cluster int")
 
 
-def layout_local(und: DataFrame, memb: DataFrame, seed: int = 42) -> DataFrame:
+def layout_local(und: DataFrame, memb: DataFrame, seed: int = 42, norm: str = "p98", multilevel: int = 2000) -> DataFrame:
     """(page_id, comm, x, y, z): each community laid out in its own unit ball."""
+    kind = memb.schema["comm"].dataType.simpleString()
     inner = community.ends(und, memb).where("cu = cv").select(F.col("cu").alias("comm"), "u", "v")
     rows = inner.unionByName(memb.select("comm", F.col("page_id").alias("u"), F.col("page_id").alias("v")))
 
@@ -139,36 +169,56 @@ def layout_local(und: DataFrame, memb: DataFrame, seed: int = 42) -> DataFrame:
         g = g.sort_values(["u", "v"])
         ids = np.unique(g.u[g.u == g.v])
         e = g[g.u != g.v]
-        p = kernels.force_layout(len(ids), *_index(ids, e.u.to_numpy(), e.v.to_numpy()), np.ones(len(e)), seed=seed + int(g.comm.iloc[0])).astype("float32")
+        own = seed + abs(int(g.comm.iloc[0])) % (1 << 31)
+        p = kernels.force_layout(len(ids), *_index(ids, e.u.to_numpy(), e.v.to_numpy()), np.ones(len(e)), seed=own, multilevel=multilevel, norm=norm).astype("float32")
         return pd.DataFrame({"page_id": ids, "comm": g.comm.iloc[0], "x": p[:, 0], "y": p[:, 1], "z": p[:, 2]})
 
-    return rows.groupBy("comm").applyInPandas(solve, "page_id long, comm int, x float, y float, z float")
+    return rows.groupBy("comm").applyInPandas(solve, f"page_id long, comm {kind}, x float, y float, z float")
 
 
-def tiles(und: DataFrame, memb: DataFrame) -> DataFrame:
-    """(comm, tile): binary tile of each community with positions and inner edges by local index."""
-    placed = layout_local(und, memb).select("comm", "page_id", "x", "y", "z", F.lit(None).cast("long").alias("v"))
-    inner = community.ends(und, memb).where("cu = cv").select(F.col("cu").alias("comm"), F.col("u").alias("page_id"), *[F.lit(None).cast("float").alias(c) for c in "xyz"], "v")
+def tiles(placed: DataFrame, und: DataFrame, memb: DataFrame, articles: DataFrame, cross_cap: int = 8) -> DataFrame:
+    """(comm, tile, titles): of each galaxy the binary tile and the JSON of its titles.
+
+    placed: (page_id, comm, x, y, z). A tile has places, inner edges by local index, and up to cross_cap
+    cross edges of each article as (local index, other galaxy, local index there).
+    """
+    local = layout.local_index(memb)
+    kind = memb.schema["comm"].dataType.simpleString()
+    at = placed.select("page_id", "x", "y", "z").join(local, "page_id").join(articles.select("page_id", "title"), "page_id", "left")
+    blank = lambda name, t: F.lit(None).cast(t).alias(name)
+    nodes = at.select("comm", F.lit(0).alias("what"), F.col("local_idx").cast("long").alias("a"), blank("g", "long"), blank("b", "long"), "x", "y", "z", "title")
+    rest = [blank(c, "float") for c in "xyz"] + [blank("title", "string")]
+    ids = lambda key, out, comm: local.select(F.col("page_id").alias(key), F.col("local_idx").cast("long").alias(out), F.col("comm").alias(comm))
+    inner = und.join(ids("u", "a", "cu"), "u").join(ids("v", "b", "cv"), "v").where("cu = cv").select(F.col("cu").alias("comm"), F.lit(1).alias("what"), "a", blank("g", "long"), "b", *rest)
+    cross = layout.cross_cap(und, memb, cross_cap).join(ids("page_id", "a", "comm"), "page_id").join(ids("other", "b", "co"), "other").select("comm", F.lit(2).alias("what"), "a", F.col("co").cast("long").alias("g"), "b", *rest)
 
     def build(g: pd.DataFrame) -> pd.DataFrame:
-        nodes = g[g.v.isna()].sort_values("page_id")
-        e = g[g.v.notna()].sort_values(["page_id", "v"])
-        ids = nodes.page_id.to_numpy()
-        pairs = np.stack(_index(ids, e.page_id.to_numpy(), e.v.to_numpy().astype("int64")), 1) if len(e) else np.empty((0, 2), int)
-        return pd.DataFrame({"comm": [g.comm.iloc[0]], "tile": [kernels.tile_bytes(nodes[["x", "y", "z"]].to_numpy(), pairs, np.empty((0, 3), int))]})
+        n = g[g.what == 0].sort_values("a")
+        e, x = (g[g.what == k].sort_values([c for c in ("a", "g", "b") if k == 2 or c != "g"]) for k in (1, 2))
+        edges, far = e[["a", "b"]].to_numpy("int64"), x[["a", "g", "b"]].to_numpy("int64")
+        titles = json.dumps({"t": [t if isinstance(t, str) and t else f"local#{k}" for k, t in enumerate(n.title)]}, ensure_ascii=False)
+        return pd.DataFrame({"comm": [g.comm.iloc[0]], "tile": [kernels.tile_bytes(n[["x", "y", "z"]].to_numpy(), edges, far)], "titles": [titles]})
 
-    return placed.unionByName(inner).groupBy("comm").applyInPandas(build, "comm int, tile binary")
+    return nodes.unionByName(inner).unionByName(cross).groupBy("comm").applyInPandas(build, f"comm {kind}, tile binary, titles string")
 
 
-def tile_roundtrip(und: DataFrame, memb: DataFrame) -> DataFrame:
-    """(comm, n, n_edges, in_ball): what the tiles say when read again."""
+def read_tiles(tiles: DataFrame) -> DataFrame:
+    """(comm, n, n_edges, n_cross, bytes, bad_size, bad_index, n_titles, n_empty, n_local, in_ball) of each tile read again."""
+    kind = tiles.schema["comm"].dataType.simpleString()
 
     def read(batches):
         for b in batches:
             rows = []
-            for comm, tile in zip(b.comm, b.tile, strict=True):
-                xyz, edges, _ = kernels.read_tile(tile)
-                rows.append((comm, len(xyz), len(edges), bool((np.sqrt((xyz**2).sum(1)) <= 1.0001).all())))
-            yield pd.DataFrame(rows, columns=["comm", "n", "n_edges", "in_ball"])
-
-    return tiles(und, memb).mapInPandas(read, "comm int, n int, n_edges int, in_ball boolean")
+            for comm, tile, titles in zip(b.comm, b.tile, b.titles, strict=True):
+                try:
+                    xyz, edges, cross = kernels.read_tile(tile)
+                    bad = False
+                except ValueError:
+                    xyz, edges, cross, bad = np.empty((0, 3)), np.empty((0, 2), int), np.empty((0, 3), int), True
+                names = json.loads(titles)["t"] if isinstance(titles, str) else []
+                wrong = int((edges >= len(xyz)).any(1).sum() + (cross[:, 0] >= len(xyz)).sum())
+                inside = bool((np.sqrt((xyz**2).sum(1)) <= 1.0001).all())
+                rows.append((comm, len(xyz), len(edges), len(cross), len(tile), bad, wrong, len(names), sum(not t for t in names), sum(str(t).startswith("local#") for t in names), inside))
+            yield pd.DataFrame(rows, columns=["comm", "n", "n_edges", "n_cross", "bytes", "bad_size", "bad_index", "n_titles", "n_empty", "n_local", "in_ball"])
+
+    return tiles.mapInPandas(read, f"comm {kind}, n long, n_edges long, n_cross long, bytes long, bad_size boolean, bad_index long, n_titles long, n_empty long, n_local long, in_ball boolean")

@@ -6,6 +6,7 @@ import json
 import time
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,18 +21,19 @@ class Stage:
     group: str = "canonical"
     params: dict[str, Any] = field(default_factory=dict)
     always: bool = False
+    store: bool = False
 
 
 REGISTRY: dict[str, Stage] = {}
 
 
-def stage(name: str, inputs: Iterable[str] = (), output: str | None = None, group: str = "canonical", always: bool = False, **params: Any):
-    """Registers f(*input frames, **params) as a stage; order of registration is order of execution."""
+def stage(name: str, inputs: Iterable[str] = (), output: str | None = None, group: str = "canonical", always: bool = False, store: bool = False, **params: Any):
+    """Registers f(*input frames, **params) as a stage; order of registration is order of execution. store: f gets the store first."""
 
     def register(f: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
         if name in REGISTRY:
             raise ValueError(f"stage {name} is registered twice")
-        REGISTRY[name] = Stage(name, f, tuple(inputs), output or name, group, params, always)
+        REGISTRY[name] = Stage(name, f, tuple(inputs), output or name, group, params, always, store)
         return f
 
     return register
@@ -48,9 +50,11 @@ def expand(targets: Iterable[str]) -> list[Stage]:
 
 
 def parameters(s: Stage, config: dict, overrides: Iterable[str] = ()) -> dict[str, Any]:
-    """Defaults of the stage, then config["defaults"] and config["stages"][name], then "stage.key=value" with JSON values."""
+    """Defaults of the stage, then config["defaults"] and config["shared"] where the stage has such a parameter, then
+    config["stages"][name], then "stage.key=value" with JSON values."""
     out = dict(s.params)
-    out |= {k: v for k, v in config.get("defaults", {}).items() if k in out}
+    for part in ("defaults", "shared"):
+        out |= {k: v for k, v in config.get(part, {}).items() if k in out}
     own = dict(config.get("stages", {}).get(s.name, {}))
     for text in overrides:
         key, _, value = text.partition("=")
@@ -85,13 +89,35 @@ class Store:
     def write(self, key: str, df: DataFrame) -> None:
         df.write.mode("overwrite").option("compression", "zstd").parquet(self.path(key))
 
+    def write_text(self, key: str, text: str) -> None:
+        """A small text file, on any file system that Spark writes."""
+        jvm = self.spark._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.path(key))
+        out = p.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(p, True)
+        try:
+            out.write(bytearray(text.encode()))
+        finally:
+            out.close()
+
+    def fresh(self, output: str, inputs: Iterable[str]) -> bool:
+        """Whether an artifact is there and no input was written after it."""
+        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
+
+        def written(key: str) -> int | None:
+            p = jvm.org.apache.hadoop.fs.Path(f"{self.path(key)}/_SUCCESS")
+            fs = p.getFileSystem(conf)
+            return fs.getFileStatus(p).getModificationTime() if fs.exists(p) else None
+
+        own = written(output)
+        return own is not None and all((t := written(k)) is None or t <= own for k in inputs)
+
 
 def plan(store: Store, targets: Iterable[str], force: bool = False) -> list[tuple[Stage, str, list[str]]]:
     """(stage, run | skip | missing-input, missing inputs); outputs of earlier stages in the plan count as there."""
     out, coming = [], set()
     for s in expand(targets):
         missing = [k for k in s.inputs if k not in coming and not store.exists(k)]
-        status = "missing-input" if missing else "run" if force or s.always or not store.exists(s.output) or coming & set(s.inputs) else "skip"
+        status = "missing-input" if missing else "run" if force or s.always or coming & set(s.inputs) or not store.fresh(s.output, s.inputs) else "skip"
         if status == "run":
             coming.add(s.output)
         out.append((s, status, missing))
@@ -105,14 +131,34 @@ def execute(store: Store, targets: Iterable[str], config: dict | None = None, ov
     for s, status, missing in steps:
         if status == "missing-input":
             manifest.append({"stage": s.name, "status": status, "missing": missing})
-            return 2, manifest
+            return 2, _ledger(store, manifest)
     for s, status, _ in steps:
         params, began = parameters(s, config or {}, overrides), time.time()
         try:
             if status == "run":
-                store.write(s.output, s.run(*[store.read(k) for k in s.inputs], **params))
+                store.write(s.output, s.run(*([store] if s.store else []), *[store.read(k) for k in s.inputs], **params))
             manifest.append({"stage": s.name, "status": "done" if status == "run" else status, "params": params, "seconds": round(time.time() - began, 3)})
         except Exception as e:  # the manifest tells which stage failed and why
             manifest.append({"stage": s.name, "status": "failed", "params": params, "error": str(e)[:500]})
-            return 1, manifest
-    return 0, manifest
+            return 1, _ledger(store, manifest)
+    return 0, _ledger(store, manifest)
+
+
+def _ledger(store: Store, manifest: list[dict]) -> list[dict]:
+    """Writes the manifest beside the artifacts, under a name by time and the stages run."""
+    now = datetime.now(timezone.utc)
+    label = "-".join(m["stage"] for m in manifest[:3]) or "nothing"
+    store.write_text(f"manifests/{now:%Y%m%dT%H%M%S%f}_{label}.json", json.dumps({"written": now.isoformat(), "spark": store.spark.version, "stages": manifest}, indent=2, default=str))
+    return manifest
+
+
+def run_name(name: str) -> str:
+    """A name of a layout run: no path, no separators, not empty."""
+    if not name or name in (".", "..") or any(c in name for c in "/\\:") or name != name.strip():
+        raise ValueError(f"not a run name: {name!r}")
+    return name
+
+
+def format_plan(steps: list[tuple[Stage, str, list[str]]]) -> str:
+    """One line per stage: what happens, and what is missing."""
+    return "\n".join(f"{status:14} {s.name} ({', '.join(s.inputs) or '-'} -> {s.output})" + (f"  missing: {', '.join(missing)}" if missing else "") for s, status, missing in steps)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 
+#: Resolved links by session and folder.
+_resolved: dict[tuple[SparkSession, str], DataFrame] = {}
 TABLES = ("part", "lineitem", "supplier", "pages", "documents")
 
 VIEWS = {
@@ -62,7 +65,7 @@ class Wiki:
     """The base views of one scale as DataFrames; what derives from links is worked out by the operators."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
-        self.spark = spark
+        self.spark, self.sf_dir = spark, sf_dir
         for t in TABLES:
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
         for name, sql in VIEWS.items():
@@ -79,9 +82,13 @@ class Wiki:
         return resolve.redirect_map(self.redirect, self.page)
 
     def resolved(self) -> DataFrame:
+        """The resolved links, kept on disk for the session: the queries stand for stages that read a written table."""
         from linkloom.operators import resolve
 
-        return resolve.resolve_links(self.pagelinks, self.linktarget, self.page, self.rdmap())
+        if (kept := _resolved.get((self.spark, self.sf_dir))) is None:
+            found = resolve.resolve_links(self.pagelinks, self.linktarget, self.page, self.rdmap())
+            kept = _resolved[self.spark, self.sf_dir] = found.persist(StorageLevel.DISK_ONLY)
+        return kept
 
     def edges(self) -> DataFrame:
         return self.resolved().where("reason = 'kept'").select("src", "dst")

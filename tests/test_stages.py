@@ -5,30 +5,11 @@ from linkloom.plans.stages import Store, execute, expand, parameters, plan
 from linkloom.streaming.ingest import ingest
 
 
-def seed(spark, base):
-    page = [(i, 0, f"P{i}", False) for i in range(12)] + [(20, 0, "R", True)]
-    tables = {
-        "page": (page, "page_id long, ns int, title string, is_redirect boolean"),
-        "redirect": ([(20, 0, "P1", "")], "rd_from long, rd_ns int, rd_title string, interwiki string"),
-        "linktarget": ([(i, 0, f"P{i}") for i in range(12)] + [(20, 0, "R")], "lt_id long, ns int, title string"),
-        "pagelinks": ([(i, 0, j) for c in (0, 6) for i in range(c, c + 6) for j in range(c, c + 6)] + [(0, 0, 6), (7, 0, 20)], "pl_from long, pl_from_ns int, lt_id long"),
-        "artcat": ([(i, i // 6) for i in range(12)], "page_id long, cat_id long"),
-        "category": ([(0, "A"), (1, "B")], "cat_id long, title string"),
-    }
-    for name, (rows, schema) in tables.items():
-        spark.createDataFrame(rows, schema).write.parquet(f"{base}/{name}")
-
-
-def test_chain(spark, tmp_path):
+def test_missing_input(spark, tmp_path):
     store = Store(spark, str(tmp_path))
-    assert execute(store, ["edges"])[0] == 2
-    seed(spark, tmp_path)
-    code, manifest = execute(store, ["all"])
-    assert code == 0, manifest
-    assert store.read("resolved").where("reason = 'kept'").count() == 62
-    galaxies = store.read("galaxies").collect()
-    assert sum(r.n_c for r in galaxies) == 12 and {r.name for r in galaxies} <= {"A", "B"}
-    assert {status for _, status, _ in plan(store, ["all"])} == {"skip"}
+    code, manifest = execute(store, ["edges"])
+    assert code == 2 and manifest[0]["missing"] == ["pagelinks", "linktarget", "page", "rdmap"]
+    assert [s for _, s, _ in plan(store, ["redirects", "edges"])] == ["missing-input", "missing-input"]
 
 
 def test_expand_and_parameters():
