@@ -20,12 +20,13 @@ from pyspark.sql import functions as F
 from ._state import table
 
 NAMES = "(?i:secret|token|passw|passphrase|pwd|key|auth|bearer|credential|private)"
+# A cheap look at the character before comes first wherever a look further back follows.
 CANDIDATE = (
-    r"(?<![A-Za-z0-9+/_-])eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"
-    r"|(?<=[a-z]://[^\s/:@]{1,64}:)[^\s/@\"'`<>]+(?=@)"
+    r"eyJ(?<![A-Za-z0-9+/_-]eyJ)[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]*"
+    r"|(?<=:)(?<=[a-z]://[^\s/:@]{1,64}:)[^\s/@\"'`<>]+(?=@)"
     r"|(?<![A-Za-z0-9+/_-])(?:(?:(?=[A-Za-z+/_-]*+[0-9])|(?=[A-Za-z+/_-]{16})(?!//)(?:(?<=[=:]\s{0,2}[\"']?)|(?<=" + NAMES + r"[^\n]{0,40})))[A-Za-z0-9+/_-]{16,}={0,2}"
     r"|(?:AKIA|ASIA|gh[pousr]_|sk_(?:live|test)_|xox[a-z]-)[A-Za-z0-9+/_-]{12,}={0,2}"
-    r"|(?:(?<=[=:]\s{0,2}[\"']?)(?<=" + NAMES + r"[A-Za-z0-9_ -]{0,24}[\"']?\s{0,2}:?[=:]\s{0,2}[\"']?)|(?<=(?i:passw(?:or)?d|passphrase|pwd|bearer) (?:is )?[\"']?))"
+    r"|(?<=[=:\s\"'])(?:(?<=[=:]\s{0,2}[\"']?)(?<=" + NAMES + r"[A-Za-z0-9_ -]{0,24}[\"']?\s{0,2}:?[=:]\s{0,2}[\"']?)|(?<=[ \"'])(?<=(?i:passw(?:or)?d|passphrase|pwd|bearer) (?:is )?[\"']?))"
     r"(?!(?i:bearer|basic)\b)(?![=:]|//)[^\s\"'`<>,;]*[^\s\"'`<>,;.)])"
 )
 BEFORE, AFTER = 48, 24
