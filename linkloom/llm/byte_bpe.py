@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 from functools import lru_cache
 from itertools import islice
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
@@ -22,8 +23,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ._state import table
 
-#: Entries of the cache of encoded pieces in each Python worker; it is emptied when full.
-CACHE_ENTRIES = 400_000
+#: Entries of each cache of encoded pieces in a Python worker.
+CACHE_ENTRIES = 500_000
 
 
 class Vocabulary:
@@ -36,12 +37,11 @@ class Vocabulary:
         self.tokens: list[bytes] = [b""] * (max(ranks.values(), default=-1) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        self.trie: dict = {}  # byte -> [token that ends here or -1, what follows]
+        self.ending = ahocorasick.Automaton()  # tokens as strings of one character a byte
         for token, rank in ranks.items():
-            node = self.trie
-            for byte in token[:-1]:
-                node = node.setdefault(byte, [-1, {}])[1]
-            node.setdefault(token[-1], [-1, {}])[0] = rank
+            self.ending.add_word(token.decode("latin-1"), (len(token), rank))
+        if ranks:
+            self.ending.make_automaton()
         self.longest = max(map(len, ranks), default=0)
         self.halves: dict[int, tuple[int, int]] = {}
         self.known: dict[int, bool] = {}
@@ -82,7 +82,7 @@ class Vocabulary:
                 before, x = x, self.split(x)[1]
             else:
                 out = True
-        if len(self.known) > 2_000_000:
+        if len(self.known) > 500_000:
             self.known.clear()
         self.known[a << 32 | b] = out
         return out
@@ -91,9 +91,9 @@ class Vocabulary:
 class PrefixEncoder:
     """Encoding of one byte string that can grow and be edited.
 
-    last[k] is the last token of the encoding of data[:k], for every k (-1 at 0). Tokens that end at k
-    are tried from the longest on; the first whose beginning ends in a token that it is stable behind
-    is the only one.
+    last[k] is the last token of the encoding of data[:k], for every k (-1 at 0). An automaton lists the
+    tokens that end at k, the longest first; the first whose beginning ends in a token that it is stable
+    behind is the only one.
     """
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
@@ -113,39 +113,24 @@ class PrefixEncoder:
         old, shift = self.last, len(new) - (end - start)
         self.data = data = self.data[:start] + new + self.data[end:]
         n, v = len(data), self.vocabulary
-        root, known, stable, longest = v.trie, v.known, v.stable, v.longest
+        known, stable, longest = v.known, v.stable, v.longest
         self.last = last = old[: start + 1]
-        ending: dict[int, list[tuple[int, int]]] = {}
-        same, behind = 0, start + len(new)
-
-        def walk(at: int) -> None:
-            node = root
-            for k in range(at, n):
-                if (hit := node.get(data[k])) is None:
-                    break
-                t, node = hit
-                if t >= 0 and k >= start:
-                    if (held := ending.get(k + 1)) is None:
-                        ending[k + 1] = [(at, t)]
-                    else:
-                        held.append((at, t))
-
-        for at in range(max(0, start - longest + 1), start):
-            walk(at)
-        for k in range(start, n):
-            walk(k)
-            for at, t in ending.pop(k + 1):
-                if at:
-                    ok = known.get(last[at] << 32 | t)
-                    if not (stable(last[at], t) if ok is None else ok):
-                        continue
-                last.append(t)
-                break
-            if k >= behind:
-                same = same + 1 if old[k + 1 - shift] == last[k + 1] else 0
+        same, behind, done = 0, start + len(new), start
+        for end, (length, t) in v.ending.iter(data.decode("latin-1"), max(0, start - longest + 1)) if n > start else ():
+            if end < done:
+                continue
+            if begin := end + 1 - length:
+                if (ok := known.get(last[begin] << 32 | t)) is None:
+                    ok = stable(last[begin], t)
+                if not ok:
+                    continue
+            last.append(t)
+            done = end + 1
+            if end >= behind:
+                same = same + 1 if old[done - shift] == t else 0
                 if same >= longest:
-                    last += old[k + 2 - shift :]
-                    return k + 1 - start
+                    last += old[done + 1 - shift :]
+                    return done - start
         return n - start
 
     def ids(self) -> list[int]:
@@ -156,7 +141,21 @@ class PrefixEncoder:
         return out[::-1]
 
 
-class Pieces(dict):
+class Kept(dict):
+    """Entries live for two generations of up to CACHE_ENTRIES / 2 each, so that those often asked for stay."""
+
+    def __init__(self):
+        super().__init__()
+        self.old: dict[str, bytes] = {}
+
+    def keep(self, key: str, value: bytes) -> None:
+        if len(self) >= CACHE_ENTRIES // 2:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value
+
+
+class Pieces(Kept):
     """Piece of text -> its ids as little-endian 32-bit integers; fills itself."""
 
     def __init__(self, vocabulary: Vocabulary):
@@ -164,18 +163,19 @@ class Pieces(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, piece: str) -> bytes:
+        if (out := self.old.pop(piece, None)) is not None:
+            self.keep(piece, out)
+            return out
         data = piece.encode("utf-8", "surrogatepass")
         one = self.vocabulary.ranks.get(data)
         ids = [one] if one is not None else PrefixEncoder(self.vocabulary, data).ids()
         out = np.array(ids, "<u4").tobytes()
         if len(piece) <= 64:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[piece] = out
+            self.keep(piece, out)
         return out
 
 
-class Spaced(dict):
+class Spaced(Kept):
     """What stands between two spaces -> the ids of the first space and it; fills itself.
 
     A space behind a character that is no white space always begins a new piece, so such stretches
@@ -187,11 +187,12 @@ class Spaced(dict):
         self.pieces, self.split = pieces, split
 
     def __missing__(self, stretch: str) -> bytes:
+        if (out := self.old.pop(stretch, None)) is not None:
+            self.keep(stretch, out)
+            return out
         out = b"".join(map(self.pieces.__getitem__, self.split(" " + stretch)))
         if len(stretch) <= 32 and "\n" not in stretch:
-            if len(self) >= CACHE_ENTRIES:
-                self.clear()
-            self[stretch] = out
+            self.keep(stretch, out)
         return out
 
 
