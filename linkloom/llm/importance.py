@@ -2,8 +2,8 @@
 
 Two generative models of hashed n-grams (byte trigrams, words and word pairs, each in BUCKETS
 buckets): one of the labelled target documents, one of all raw text. A document's score is the log of
-the ratio of its likelihoods per n-gram, so that long texts do not weigh more; score / TEMPERATURE is
-the log of its importance weight. Gumbel noise seeded by doc_id is added, and the k documents with the
+the ratio of its likelihoods per n-gram (SHRINK of ratio 0 added), so that long texts do not weigh
+more; score / TEMPERATURE is the log of its importance weight. Gumbel noise seeded by doc_id is added, and the k documents with the
 highest sums are a sample without replacement in proportion to the weights. k is a parameter, or it
 follows from the labelled documents. A mean over a whole text lets ordinary words outweigh a few bad
 ones, so a document must also pass by its worst passage: the least sum, over WINDOW words in a row, of
@@ -31,7 +31,9 @@ LABELLED_ROWS = 20_000
 SMOOTHING = 1.0
 SEED = 5
 #: Score that makes a document e times as likely to be drawn.
-TEMPERATURE = 0.02
+TEMPERATURE = 0.005
+#: N-grams of ratio 0 that every document has besides its own: a few odd words do not condemn a short text.
+SHRINK = 400
 #: Bins of a pass of the search for the k-th highest value.
 BINS = 4096
 #: Passages: buckets of folded words, words in a window, documents that the prior counts for.
@@ -103,7 +105,7 @@ def with_scores(docs: DataFrame, weights: np.ndarray, passages: np.ndarray | Non
             for bucket, row in _grams(*buffers(b.column("text"))):
                 score += np.bincount(row, weights[bucket], minlength=len(b))
                 grams += np.bincount(row, minlength=len(b))
-            new = [pa.array(np.round(score / np.maximum(grams, 1), 9))]
+            new = [pa.array(np.round(score / (grams + SHRINK), 9))]
             if passages is not None:
                 bucket, at = _words(b.column("text"))
                 new.append(pa.array(_worst(passages[bucket], at, len(b))))
