@@ -335,6 +335,9 @@ query("tile_roundtrip", f"SELECT comm, n, ne AS n_edges, nx AS n_cross, 12 + 12
 query("tile_audit", f"SELECT 0::BIGINT AS missing, 0::BIGINT AS bad_size, 0::BIGINT AS bad_header, 0::BIGINT AS bad_index, 0::BIGINT AS titles_short, 0::BIGINT AS titles_empty, 0::BIGINT AS titles_local, sum(n)::BIGINT AS articles, sum(ne)::BIGINT AS inner_edges, sum(nx)::BIGINT AS cross_edges, sum(12 + 12 * n + 8 * ne + 12 * nx)::BIGINT AS bytes FROM {TILE}")(lambda w: audit.tile_counts(solvers.read_tiles(own_tiles(w)), w.memb.groupBy("comm").agg(F.count(F.lit(1)).alias("n"))))
 
 
+query("tile_rows", f"SELECT m.comm, l.local_idx, a.title, round((m.page_id % 97) / 1000, 4) AS x, d.deg FROM w_memb m JOIN w_article a ON a.page_id = m.page_id JOIN {TDEG} d ON d.page_id = m.page_id JOIN (SELECT page_id, row_number() OVER (PARTITION BY comm ORDER BY page_id) - 1 AS local_idx FROM w_memb) l ON l.page_id = m.page_id")(lambda w: solvers.tile_rows(own_tiles(w)).select("comm", "local_idx", "title", F.round(F.col("x").cast("double"), 4).alias("x"), "deg"))
+
+
 def shaped(w) -> DataFrame:
     return w.pos().withColumn("display_class", F.when(F.col("comm") % 11 == 0, "medium").when(F.col("comm") == 7, "dust").otherwise("galaxy"))
 
@@ -363,6 +366,7 @@ def invariants(w, memb: DataFrame, most: int | None = None) -> DataFrame:
 WHOLE = "SELECT count(*) AS n, count(*) AS n_rows, 0::BIGINT AS n_split, 0::BIGINT AS too_large FROM w_article"
 query("detect_invariants", WHOLE)(lambda w: invariants(w, solvers.detect(w.und(), w.article)))
 query("detect_cpm_invariants", WHOLE)(lambda w: invariants(w, solvers.detect(w.und(), w.article, 0.02, "cpm")))
+query("detect_weighted_invariants", WHOLE)(lambda w: invariants(w, solvers.detect(graph.hub_weights(w.und(), graph.node_degrees(w.und(), w.article)), w.article)))
 query("detect_modularity", "SELECT true AS above_brands FROM w_article LIMIT 1")(lambda w: community.modularity(community.per_community(w.und(), solvers.detect(w.und(), w.article))).select(F.col("modularity").alias("found")).crossJoin(community.modularity(per(w))).select((F.col("found") > F.col("modularity") + 0.1).alias("above_brands")))
 
 

@@ -64,6 +64,8 @@ def _connected(edges: DataFrame, owner: DataFrame) -> DataFrame:
 def detect(und: DataFrame, articles: DataFrame, gamma: float = 1.0, objective: str = "modularity", max_edges: int = 0) -> DataFrame:
     """(page_id, comm): communities of the whole graph, by modularity or cpm; max_edges: only that many edges, by priority, for a trial.
 
+    An edge weighs what und has in column w, 1 without it.
+
     While there are more than LOCAL_EDGES weighted edges, nodes move in parallel rounds as modularity gains and
     their communities become the nodes of a smaller graph; the rest is refined in one group. After that
     the articles themselves move once more, so none is tied to what it was merged with, and
@@ -72,10 +74,10 @@ def detect(und: DataFrame, articles: DataFrame, gamma: float = 1.0, objective: s
     if max_edges:
         und = und.orderBy(graph.priority(), "u", "v").limit(max_edges)
     cpm = objective == "cpm"
-    whole = edges = und.select("u", "v", F.lit(1.0).alias("w"))
+    whole = edges = und.select("u", "v", (F.col("w").cast("double") if "w" in und.columns else F.lit(1.0)).alias("w"))
     owner = articles.select("page_id", F.col("page_id").alias("c"))
     n_edges = edges.count()
-    m2, merged, fits = 2.0 * n_edges, False, True
+    m2, merged, fits = 2.0 * (edges.agg(F.sum("w")).first()[0] or 0.0), False, True
     while n_edges > LOCAL_EDGES:
         nodes = edges.select(F.explode(F.array("u", "v")).alias("x")).distinct()
         sizes = owner.groupBy(F.col("c").alias("x")).agg(F.count(F.lit(1)).cast("double").alias("k")).join(nodes, "x", "left_semi") if cpm else None
@@ -222,3 +224,26 @@ def read_tiles(tiles: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["comm", "n", "n_edges", "n_cross", "bytes", "bad_size", "bad_index", "n_titles", "n_empty", "n_local", "in_ball"])
 
     return tiles.mapInPandas(read, f"comm {kind}, n long, n_edges long, n_cross long, bytes long, bad_size boolean, bad_index long, n_titles long, n_empty long, n_local long, in_ball boolean")
+
+
+def tile_rows(tiles: DataFrame) -> DataFrame:
+    """(comm, local_idx, title, x, y, z, deg) of the articles in tiles, as a viewer takes them.
+
+    Places that are no numbers become 0, edges with an index out of range are left out, titles that are
+    missing are made up, and deg counts the inner and cross edges that are left.
+    """
+    kind = tiles.schema["comm"].dataType.simpleString()
+
+    def read(batches):
+        for b in batches:
+            for comm, tile, titles in zip(b.comm, b.tile, b.titles, strict=True):
+                xyz, edges, cross = kernels.read_tile(tile)
+                n = len(xyz)
+                inner, far = edges[(edges < n).all(1)].ravel(), cross[cross[:, 0] < n, 0]
+                deg = np.bincount(inner, minlength=n) + np.bincount(far, minlength=n)
+                names = json.loads(titles).get("t", []) if isinstance(titles, str) else []
+                names = [names[k] if k < len(names) and names[k] else f"local#{k}" for k in range(n)]
+                p = np.nan_to_num(xyz)
+                yield pd.DataFrame({"comm": comm, "local_idx": np.arange(n), "title": names, "x": p[:, 0], "y": p[:, 1], "z": p[:, 2], "deg": deg})
+
+    return tiles.mapInPandas(read, f"comm {kind}, local_idx long, title string, x float, y float, z float, deg long")
