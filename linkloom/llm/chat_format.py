@@ -6,8 +6,9 @@ next one begins. A task holds one Arrow batch and one message at a time, so a co
 third of all events streams through its task in bounded memory.
 
 Rendered text: <|im_start|>role, a line feed, text, <|im_end|>, a line feed. Inside roles and texts
-a backslash goes between < and | wherever only backslashes (or nothing) stand between them, and in
-roles a line feed becomes <|n|>-free text as <\\n; parse() undoes both exactly.
+a backslash goes between < and | wherever only backslashes (or nothing) stand between them; in roles
+every backslash is doubled after that and a line feed is written as a backslash and n. parse() undoes
+all of it exactly.
 """
 
 from __future__ import annotations
