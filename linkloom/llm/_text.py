@@ -43,13 +43,15 @@ def mix(h: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def _tables(fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Value of each byte (A-Z as a-z if fold), and which bytes are white space."""
+def _tables(fold: bool, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Value of each byte (A-Z as a-z if fold), and which bytes are white space (if letters, also ASCII marks and digits)."""
     values = mix(np.arange(1, 257, dtype=np.uint64) * _BASE)
     if fold:
         values[65:91] = values[97:123]
     space = np.zeros(256, bool)
     space[[32, *range(9, 14)]] = True
+    if letters:
+        space[[b for b in range(33, 127) if not chr(b).isalpha()]] = True
     return values, space
 
 
@@ -62,13 +64,13 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and document (row) of each stretch without ASCII white space, in order.
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and document (row) of each stretch without ASCII white space (if letters, without ASCII marks and digits too), in order.
 
     A word's hash is a polynomial of its bytes, got from running sums, so whole blocks of text are
     hashed at once. Blocks end at white space or between documents.
     """
-    values, space = _tables(fold)
+    values, space = _tables(fold, letters)
     hashes, docs = [], []
     lo, end = int(offsets[0]), int(offsets[-1])
     while lo < end:

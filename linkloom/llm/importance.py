@@ -6,7 +6,7 @@ the ratio of its likelihoods per n-gram (SHRINK of ratio 0 added), so that long
 more; score / TEMPERATURE is the log of its importance weight. Gumbel noise seeded by doc_id is added, and the k documents with the
 highest sums are a sample without replacement in proportion to the weights. k is a parameter, or it
 follows from the labelled documents. A mean over a whole text lets ordinary words outweigh a few bad
-ones, so a document must also pass by its worst passage: the least sum, over WINDOW words in a row, of
+ones, so a document must also pass by its worst passage: the least sum, over WINDOW words in a row (in lower case, without marks and digits), of
 log ratios between the labelled classes (how many of their documents hold a word), with a floor from
 both classes.
 """
@@ -116,7 +116,7 @@ def with_scores(docs: DataFrame, weights: np.ndarray, passages: np.ndarray | Non
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bucket and row of every word for the passage scores."""
-    words, at = word_hashes(*buffers(col), fold=True)
+    words, at = word_hashes(*buffers(col), fold=True, letters=True)
     return (words >> np.uint64(64 - PASSAGE_BITS)).astype(np.int64), at
 
 
