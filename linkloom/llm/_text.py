@@ -64,9 +64,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool, letters: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool, letters: bool = False, head: int = 0) -> tuple[np.ndarray, np.ndarray]:
     """Hash and document (row) of each stretch without ASCII white space (if letters, without ASCII marks and digits too), in order.
 
+    head: only so many bytes of each are hashed, all if 0.
+
     A word's hash is a polynomial of its bytes, got from running sums, so whole blocks of text are
     hashed at once. Blocks end at white space or between documents.
     """
@@ -92,6 +94,7 @@ def word_hashes(data: np.ndarray, offsets: np.ndarray, fold: bool, letters: bool
         sums = np.empty(len(part) + 1, np.uint64)
         sums[0] = 0
         np.cumsum(values[part] * up[: len(part)], out=sums[1:])
+        e = np.minimum(e, s + head) if head else e
         hashes.append(mix((sums[e] - sums[s]) * down[s]))
         docs.append(np.searchsorted(offsets, s + lo, "right") - 1)
         lo = hi

@@ -6,9 +6,10 @@ the ratio of its likelihoods per n-gram (SHRINK of ratio 0 added), so that long
 more; score / TEMPERATURE is the log of its importance weight. Gumbel noise seeded by doc_id is added, and the k documents with the
 highest sums are a sample without replacement in proportion to the weights. k is a parameter, or it
 follows from the labelled documents. A mean over a whole text lets ordinary words outweigh a few bad
-ones, so a document must also pass by its worst passage: the least sum, over WINDOW words in a row (in lower case, without marks and digits), of
-log ratios between the labelled classes (how many of their documents hold a word), with a floor from
-both classes.
+ones, so a document must also pass by its worst passage: the least sum, over WINDOW words in a row, of
+log ratios between labelled targets and labelled toxic documents (other non-targets if none is toxic),
+with a floor from both. What is counted there is how many documents hold the beginning of a word (FIRST
+bytes, in lower case, without marks and digits), and how many hold it a second or a third time.
 """
 
 from __future__ import annotations
@@ -36,10 +37,11 @@ TEMPERATURE = 0.005
 SHRINK = 400
 #: Bins of a pass of the search for the k-th highest value.
 BINS = 4096
-#: Passages: buckets of folded words, words in a window, documents that the prior counts for.
+#: Passages: buckets, bytes of a word, times it may come again, words in a window, documents that the prior counts for.
 PASSAGE_BITS = 20
+FIRST, AGAIN = 6, 2
 WINDOW = 2
-PRIOR = 8.0
+PRIOR = 4.0
 #: A labelled target below the floor of passages weighs as much as so many other labelled documents above it.
 TARGET_COST = 10
 
@@ -73,9 +75,10 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def labelled(labels: DataFrame, rows: int = LABELLED_ROWS) -> DataFrame:
-    """(doc_id, target) of a bounded sample of labels: target if all rows of a doc_id say good quality and none toxic."""
+    """(doc_id, target, toxic) of a bounded sample of labels: target if all rows of a doc_id say good quality and none toxic, toxic if one does."""
     some = labels.select("doc_id", "quality", "toxic").where("doc_id IS NOT NULL AND quality IS NOT NULL").orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(rows)
-    return some.groupBy(F.col("doc_id").alias("_labelled")).agg(F.every((F.col("quality") == 1) & (F.coalesce("toxic", F.lit(0)) == 0)).alias("target"))
+    toxic = F.coalesce("toxic", F.lit(0)) == 1
+    return some.groupBy(F.col("doc_id").alias("_labelled")).agg(F.every((F.col("quality") == 1) & ~toxic).alias("target"), F.some(toxic).alias("toxic"))
 
 
 def log_ratios(docs: DataFrame, sample: DataFrame) -> np.ndarray:
@@ -115,9 +118,14 @@ def with_scores(docs: DataFrame, weights: np.ndarray, passages: np.ndarray | Non
 
 
 def _words(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Bucket and row of every word for the passage scores."""
-    words, at = word_hashes(*buffers(col), fold=True, letters=True)
-    return (words >> np.uint64(64 - PASSAGE_BITS)).astype(np.int64), at
+    """Bucket and row of every word for the passage scores: of its beginning and how often that came before, AGAIN times at most."""
+    words, at = word_hashes(*buffers(col), fold=True, letters=True, head=FIRST)
+    order = np.lexsort((words, at))
+    w, r = words[order], at[order]
+    start = np.flatnonzero(np.concatenate([[True], (w[1:] != w[:-1]) | (r[1:] != r[:-1])])) if len(w) else np.empty(0, np.int64)
+    before = np.empty(len(w), np.uint64)
+    before[order] = np.minimum(np.arange(len(w)) - np.repeat(start, np.diff(start, append=len(w))), AGAIN).astype(np.uint64)
+    return (mix(words * np.uint64(31) + before) >> np.uint64(64 - PASSAGE_BITS)).astype(np.int64), at
 
 
 def _holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -229,7 +237,9 @@ def resample(
     """
     sample = labelled(labels, labelled_rows)
     weights = log_ratios(docs, sample)
-    marked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "target")
+    marked = docs.select("doc_id", "text").join(F.broadcast(sample), F.col("doc_id") == F.col("_labelled")).select("doc_id", "text", "target", "toxic")
+    toxic = marked.where("target OR toxic")
+    judged = (marked if toxic.where("toxic").isEmpty() else toxic).drop("toxic")
 
     def noisy(score: str) -> Column:
         return F.col(score) / TEMPERATURE + gumbel(F.col("doc_id"), seed)
@@ -239,9 +249,9 @@ def resample(
         target, v = np.array(seen.column("target").to_pylist(), bool), np.array(seen.column("v").to_pylist(), float)
         return v[target], v[~target]
 
-    ratios, floor, lowest = passage_ratios(marked), None, None
+    ratios, floor, lowest = passage_ratios(judged), None, None
     if k is None:
-        targets, others = least(with_scores(marked, weights), noisy("_score"))
+        targets, others = least(with_scores(marked.drop("toxic"), weights), noisy("_score"))
         if len(targets):
             edge = np.quantile(targets, 1 - keep_targets)
             below = others[others < edge]
@@ -251,7 +261,7 @@ def resample(
     else:
         floor = kth_highest(written(with_scores(docs.select("doc_id", "text"), weights).select(noisy("_score").alias("v")), "noisy"), k)
     if ratios:
-        lowest = passage_floor(*least(with_passages(marked, ratios, labelled_rows=True), F.col("_passage")))
+        lowest = passage_floor(*least(with_passages(judged, ratios, labelled_rows=True), F.col("_passage")))
     score, passage, total, kept = fresh(docs, "score", "passage", "noisy", "kept")
     scored = with_scores(docs, weights, ratios[0] if ratios else None, (score, passage)).withColumn(total, noisy(score))
     scored = scored if ratios else scored.withColumn(passage, F.lit(0.0))
