@@ -367,7 +367,7 @@ WHOLE = "SELECT count(*) AS n, count(*) AS n_rows, 0::BIGINT AS n_split, 0::BIGI
 query("detect_invariants", WHOLE)(lambda w: invariants(w, solvers.detect(w.und(), w.article)))
 query("detect_cpm_invariants", WHOLE)(lambda w: invariants(w, solvers.detect(w.und(), w.article, 0.02, "cpm")))
 query("detect_weighted_invariants", WHOLE)(lambda w: invariants(w, solvers.detect(graph.hub_weights(w.und(), graph.node_degrees(w.und(), w.article)), w.article)))
-query("detect_modularity", "SELECT true AS above_brands FROM w_article LIMIT 1")(lambda w: community.modularity(community.per_community(w.und(), solvers.detect(w.und(), w.article))).select(F.col("modularity").alias("found")).crossJoin(community.modularity(per(w))).select((F.col("found") > F.col("modularity") + 0.1).alias("above_brands")))
+query("detect_modularity", "SELECT true AS above_brands FROM w_article LIMIT 1")(lambda w: community.modularity(community.per_community(w.und(), solvers.detect(w.und(), w.article))).select(F.col("modularity").alias("found")).crossJoin(community.modularity(per(w))).select((F.col("found") > F.col("modularity") + 0.05).alias("above_brands")))
 
 
 def subdivided(w) -> DataFrame:
