@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from . import kernels
 
+# They must equal those of published layouts for equal places.
 GOLDEN_ANGLE = 2.399963229728653
 #: Three irrational factors: the fractional parts of their multiples spread evenly.
 SPREAD = (0.6180339887498949, 0.7548776662466927, 0.5432109876543210)
@@ -53,13 +54,18 @@ def cone(axis: np.ndarray, key: int) -> tuple[np.ndarray, float]:
 
 
 def _apart(i: np.ndarray, j: np.ndarray, dim: int) -> np.ndarray:
-    """Directions, by number alone, for pairs of bodies in one place."""
-    turn = (i * 7 + j * 13 + 1) * GOLDEN_ANGLE
-    out = np.zeros((len(i), dim))
-    out[:, 0], out[:, 1] = np.cos(turn), np.sin(turn)
-    if dim > 2:
-        out[:, 2] = np.cos(((i * 3 + j * 5) % 89 + 0.5) / 89 * np.pi)
-    return out
+    """Unit directions, spread evenly by the numbers alone, for pairs of bodies in one place."""
+    key = i * 31.0 + j + 1
+    z = 2 * (key * SPREAD[0] % 1.0) - 1 if dim > 2 else np.zeros(len(key))
+    turn, ring = 2 * np.pi * (key * SPREAD[1] % 1.0), np.sqrt(1 - z * z)
+    return np.stack([ring * np.cos(turn), ring * np.sin(turn), z][:dim], 1)
+
+
+def _slot(k: int, n: int, radius: float, seed: int) -> np.ndarray:
+    """ball_slots for one body of a group."""
+    y, phi, r = 1 - 2 * (k + 0.5) / n, (k + (seed % 97) * SPREAD[0]) * GOLDEN_ANGLE, radius * ((k + 0.5) / n) ** (1 / 3)
+    ring = math.sqrt(max(0.0, 1 - y * y))
+    return np.array([r * ring * math.cos(phi), r * ring * math.sin(phi), r * y])
 
 
 def relax(places: np.ndarray, radii: np.ndarray, rounds: int = 40) -> np.ndarray:
@@ -181,18 +187,15 @@ def macro_galaxies(own: pd.DataFrame, links: pd.DataFrame, seed: int) -> pd.Data
         place = {g: p[k] * free for k, g in enumerate(linked)}
     rim = max(room - max((radius[g] for g in alone), default=0.0), 0.3 * room) * 0.9
     for k, g in enumerate(alone):
-        y, n = 1 - 2 * (k + 0.5) / len(alone), len(alone)
-        ring, phi, r = math.sqrt(max(0.0, 1 - y * y)), (k + ((seed + macro) % 97) * SPREAD[0]) * GOLDEN_ANGLE, rim * ((k + 0.5) / n) ** (1 / 3)
-        place[g] = _bridged(seed + g, partners.get(g, []), place, room, radius[g], np.array([r * ring * math.cos(phi), r * ring * math.sin(phi), r * y]))
+        place[g] = _bridged(seed + g, partners.get(g, []), place, room, radius[g], _slot(k, len(alone), rim, seed + macro))
     order = linked + alone
     p, r = np.array([place[g] for g in order]).reshape(-1, 3), np.array([radius[g] for g in order])
     p = into_ball(relax(p, r, 120), np.maximum(room - r, 0.05 * room))
     place = {g: p[k] for k, g in enumerate(order)}
     if medium:
-        turn = [((seed + g) % 1000) * GOLDEN_ANGLE for g in medium]
         rm = np.array([radius[g] for g in medium])
         rim = np.maximum(room - rm, 0.05 * room)
-        m = np.array([_bridged(seed + g, partners.get(g, []), place, room, radius[g], np.array([rim[k] * 0.6 * math.cos(t), rim[k] * 0.6 * math.sin(t), rim[k] * 0.21 * math.sin(2 * t)])) for k, (g, t) in enumerate(zip(medium, turn, strict=True))])
+        m = np.array([_bridged(seed + g, partners.get(g, []), place, room, radius[g], _slot(k, len(medium), rim[k] * 0.6, seed + macro)) for k, g in enumerate(medium)])
         for _ in range(30):
             before = m.copy()
             if len(p):
