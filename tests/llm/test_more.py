@@ -414,3 +414,25 @@ def test_ngram_join_long_texts_and_small_chunks(spark, monkeypatch):
     rows += [(300 + i, rows[50][1] + f" end{i}") for i in range(40)]
     got = {x.doc_id: x.component_id for x in ngram_join.join_documents(docs_of(spark, rows, k=1, chunk=2, h=3, n=4)).collect()}
     assert got[3] == 2 and got[2] == 2 and got[9] == 9 and all(got[300 + i] == rows[50][0] for i in range(40))
+
+
+def test_ngram_join_large_cluster_is_linked_in_time():
+    r = np.random.default_rng(47)
+    held = np.zeros((3000, 2400), np.float32)  # near copies of one text of 400 shingles
+    for row, m in zip(held, r.choice([2, 20, 40, 60, 80, 90, 110], len(held)), strict=True):
+        row[r.choice(400, 400 - m, replace=False)] = 1
+        row[400 + r.choice(2000, m, replace=False)] = 1
+    weight = held.sum(0).astype(np.uint32)
+    order = np.lexsort((np.arange(2400), weight))
+    shingle = [order[row[order] > 0].astype(np.uint64) for row in held]
+    began = time.process_time()
+    got = ngram_join.link_block([b"%04d" % j for j in range(len(held))], [400] * len(held), shingle, [weight[s.astype(int)] for s in shingle])
+    assert time.process_time() - began < 10
+    linked = 7 * (held @ held.T) >= 3 * 800
+    want = np.arange(len(held))
+    while True:
+        low = np.minimum.reduce(np.where(linked, want, len(held)), axis=1)
+        if (low == want).all():
+            break
+        want = low
+    assert got == want.tolist() and len(set(got)) > 300
