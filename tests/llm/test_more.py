@@ -5,9 +5,11 @@ import random
 import re
 import string
 import time
+import tracemalloc
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 import pytest
 import regex
@@ -436,3 +438,21 @@ def test_ngram_join_large_cluster_is_linked_in_time():
             break
         want = low
     assert got == want.tolist() and len(set(got)) > 300
+
+
+def test_ngram_join_blocks_of_a_bin_are_not_all_held_twice():
+    r = np.random.default_rng(48)
+    rows = []
+    for block in range(6):
+        words = np.sort(r.choice(1 << 50, 2400, replace=False)).astype(np.uint64)
+        for j in range(250):
+            t = words[np.sort(r.choice(2400, 2000, replace=False))]
+            rows.append({"block": b"%d" % block, "k": b"%d-%03d" % (block, j), "n": 2000, "t": t.tobytes(), "w": np.full(2000, 208, np.uint32).tobytes()})
+    binary = pa.binary()
+    group = pa.Table.from_pylist(rows, pa.schema({"block": binary, "k": binary, "n": pa.int64(), "t": binary, "w": binary}))
+    del rows
+    tracemalloc.start()
+    got = ngram_join._blocks(group)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < group.nbytes and got.num_rows == 1500
