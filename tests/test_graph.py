@@ -1,6 +1,6 @@
 import numpy as np
 
-from linkloom.operators import catalog, community, graph, kernels, layout, resolve
+from linkloom.operators import catalog, community, geometry, graph, kernels, layout, resolve
 from linkloom.plans import solvers, wiki
 
 
@@ -20,6 +20,14 @@ def test_resolution_reasons(spark):
     assert {x[2] for x in got} == {"kept", "target_dangling_redirect", "target_redlink", "target_non_ns0", "from_non_ns0", "src_is_redirect", "src_not_article", "self_loop"}
 
 
+def test_article_forces_keep_all_digits(spark):
+    unit = frame(spark, [(5, 1, 0.25, 0.0, 0.0, 0, 3)], "page_id long, comm int, x double, y double, z double, int_deg long, ext_deg long")
+    anchors = frame(spark, [(5, 1.0, 0.0, 0.0, 0.5)], "page_id long, dx double, dy double, dz double, conf double")
+    galaxies = frame(spark, [(1, 30.0, 0.0, 0.0, 1.0)], "comm int, x double, y double, z double, radius double")
+    got = geometry.article_forces(unit, anchors, galaxies, rounds=1).first()
+    assert abs(got.x - (30 + 0.23 + 0.025 * (0.35 - 0.23))) < 1e-12
+
+
 def test_pagelinks_of_all_orders(spark):
     w = wiki.Wiki(spark, "/root/testdata/sf0.001")
     lines = [(r.l_orderkey, r.l_linenumber) for r in spark.table("lineitem").select("l_orderkey", "l_linenumber").collect()]
