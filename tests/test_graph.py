@@ -1,6 +1,6 @@
 import numpy as np
 
-from linkloom.operators import catalog, community, geometry, graph, kernels, layout, resolve
+from linkloom.operators import blocks, catalog, community, geometry, graph, kernels, layout, resolve
 from linkloom.plans import solvers, wiki
 
 
@@ -118,6 +118,29 @@ def test_detect_beyond_one_group(spark, monkeypatch):
     assert quality() > one_group - 0.03
 
 
+def test_detect_beyond_one_group_writes_few_tables(spark, monkeypatch):
+    written = []
+    for module in (solvers, blocks):
+        monkeypatch.setattr(module, "cut", lambda df, put=module.cut: written.append(1) or put(df))
+    monkeypatch.setattr(solvers, "LOCAL_EDGES", 100)
+    monkeypatch.setattr(blocks, "BLOCK_ENDS", 150)
+    n, a, b = two_cliques(12)
+    und = frame(spark, list(zip(a.tolist(), b.tolist(), strict=True)), "u long, v long")
+    articles = frame(spark, [(i,) for i in range(n + 1)], "page_id long")
+    for gamma, objective in ((1.0, "modularity"), (0.1, "cpm")):
+        c = {r.page_id: r.comm for r in solvers.detect(und, articles, gamma, objective).collect()}
+        assert len(c) == n + 1 and {c[i] for i in range(12)} == {0} and {c[i] for i in range(12, n)} == {12} and c[n] == n
+    assert len(written) <= 10  # tables, not rounds
+
+
+def test_connected_parts_by_blocks(spark, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ENDS", 20)
+    edges = frame(spark, [(i, i + 1) for i in range(100, 160)] + [(i, i + 1) for i in range(200, 260)], "u long, v long")
+    owner = frame(spark, [(i, int(i >= 130)) for i in [*range(100, 161), *range(200, 261), 999]], "x long, c long")
+    got = {r.x: r.c for r in solvers._connected(edges, owner).collect()}
+    assert got == {**{i: 100 if i < 130 else 130 for i in range(100, 161)}, **{i: 200 for i in range(200, 261)}, 999: 999}
+
+
 def test_layout_and_tile():
     n, a, b = two_cliques()
     p = kernels.force_layout(n, a, b, np.ones(len(a)))
