@@ -20,6 +20,15 @@ def test_resolution_reasons(spark):
     assert {x[2] for x in got} == {"kept", "target_dangling_redirect", "target_redlink", "target_non_ns0", "from_non_ns0", "src_is_redirect", "src_not_article", "self_loop"}
 
 
+def test_target_in_two_namespaces_gives_two_rows(spark):
+    pages = frame(spark, [(0, 0, "P0", False), (1, 0, "P1", False)], "page_id long, ns int, title string, is_redirect boolean")
+    rd = frame(spark, [], "rd_from long, rd_final long")
+    targets = frame(spark, [(7, 14, "C"), (7, 0, "Red"), (8, 0, "P1"), (8, 14, "P1")], "lt_id long, ns int, title string")
+    links = frame(spark, [(0, 0, 7), (0, 0, 8), (0, 0, 9)], "pl_from long, pl_from_ns int, lt_id long")
+    got = sorted((r.dst or 0, r.reason) for r in resolve.resolve_links(links, targets, pages, rd).collect())
+    assert got == [(0, "target_non_ns0")] * 3 + [(0, "target_redlink"), (1, "kept")]
+
+
 def test_article_forces_keep_all_digits(spark):
     unit = frame(spark, [(5, 1, 0.25, 0.0, 0.0, 0, 3)], "page_id long, comm int, x double, y double, z double, int_deg long, ext_deg long")
     anchors = frame(spark, [(5, 1.0, 0.0, 0.0, 0.5)], "page_id long, dx double, dy double, dz double, conf double")
