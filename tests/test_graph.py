@@ -1,3 +1,5 @@
+import json
+
 import numpy as np
 
 from linkloom.operators import blocks, catalog, community, geometry, graph, kernels, layout, resolve
@@ -88,6 +90,22 @@ def test_top_neighbors(spark):
     assert got == {0: [(1, 5), (2, 5)], 1: [(0, 5), (2, 1)], 2: [(0, 5), (1, 1)]}
 
 
+def test_weighted_percentiles_work_out_their_input_once(spark):
+    df = frame(spark, [(1.0, 1), (2.0, 1), (3.0, 5), (None, 9), (9.0, 0)], "v double, w int")
+    got = community.weighted_percentiles(df, "v", "w", (0.1, 0.2, 0.5))
+    assert [tuple(r) for r in got.collect()] == [(0.1, 1.0), (0.2, 2.0), (0.5, 3.0)]
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + got._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+
+
+def test_parts_follow_the_input(spark, monkeypatch):
+    monkeypatch.setattr(wiki, "PART_BYTES", 1 << 12)
+    w = wiki.Wiki(spark, "/root/testdata/sf0.001")
+    assert w.parts > 8 and w.und() is w.und()
+    for df in (layout.cross_links(w.und(), w.memb), layout.cross_cap(w.und(), w.memb)):
+        assert "RepartitionByExpression [page_id" in df._jdf.queryExecution().optimizedPlan().toString() and f", {w.parts}" in df._jdf.queryExecution().optimizedPlan().toString()
+    assert w.und().count() == w.edges().where("src <> dst").selectExpr("least(src, dst)", "greatest(src, dst)").distinct().count()
+
+
 def two_cliques(k=8):
     e = [(i, j) for c in (0, k) for i in range(c, c + k) for j in range(i + 1, c + k)] + [(0, k)]
     return 2 * k, *map(np.array, zip(*e, strict=True))
@@ -158,3 +176,21 @@ def test_layout_and_tile():
     assert len(data) == 12 + 12 * n + 8 * len(a)
     xyz, edges, _ = kernels.read_tile(data)
     assert np.allclose(xyz, p.astype("f4")) and (edges == np.stack([a, b], 1)).all()
+
+
+def test_tiles_are_encoded_in_ranges(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    memb = frame(spark, [(i, i % 2) for i in range(60)], "page_id long, comm int")
+    und = frame(spark, sorted({(min(a, b), max(a, b)) for a, b in rng.integers(0, 60, (300, 2)).tolist() if a != b}), "u long, v long")
+    placed = frame(spark, [(i, i % 2, i / 100, -i / 200, 0.1) for i in range(60)], "page_id long, comm int, x float, y float, z float")
+    articles = frame(spark, [(i, "null" if i == 7 else None if i % 9 == 0 else f"Tïtle \"{i}\"") for i in range(60)], "page_id long, title string")
+    whole = {r.comm: (bytes(r.tile), r.titles) for r in solvers.tiles(placed, und, memb, articles).collect()}
+    monkeypatch.setattr(solvers, "TILE_NODES", 7)
+    cut = solvers.tiles(placed, und, memb, articles)
+    assert {r.comm: (bytes(r.tile), r.titles) for r in cut.collect()} == whole
+    names = json.loads(whole[1][1])["t"]
+    assert names[3] == "null" and names[4] == "local#4" and names[0] == 'Tïtle "1"'
+    assert whole[1][1] == json.dumps({"t": names}, ensure_ascii=False)
+    read = {r.comm: r for r in solvers.read_tiles(cut).collect()}
+    assert read[0].n == 30 and not read[0].bad_size and read[0].bad_index == 0 and solvers.tile_rows(cut).count() == 60
+    assert not any("Pandas" in line for line in cut._jdf.queryExecution().optimizedPlan().toString().splitlines())
